@@ -1,0 +1,42 @@
+"""Change classification, withdrawals, index decisions and search over DataFrames."""
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+
+def classify(new: DataFrame, old: DataFrame) -> DataFrame:
+    """post_id, revision of each snapshot against the stored posts (columns post_id, body, tags, updated_at)."""
+    o = old.select("post_id", F.col("body").alias("ob"), F.col("tags").alias("ot"), F.col("updated_at").alias("ou"))
+    x = new.join(o, "post_id", "left")
+    changed = (F.col("body") != F.col("ob")) | (F.array_sort(F.transform("tags", F.lower)) != F.array_sort(F.transform("ot", F.lower)))
+    kind = F.when(F.col("ou").isNull(), "PUBLISHED").when(F.col("updated_at") < F.col("ou"), "STALE").when(changed, "CHANGED").when(F.col("updated_at") > F.col("ou"), "TOUCHED").otherwise("UNCHANGED")
+    return x.select("post_id", kind.alias("revision"))
+
+
+def unlisted(stored: DataFrame, listed: DataFrame) -> DataFrame:
+    """Stored posts to withdraw; an empty listing, or one with an unreadable id, withdraws nothing."""
+    verdict = listed.agg(F.count("*"), F.bool_or(F.col("post_id").isNull())).first()
+    return stored.join(listed, "post_id", "left_anti").where(F.lit(bool(verdict[0]) and not verdict[1]))
+
+
+def decide(catalogue: DataFrame, index: DataFrame) -> DataFrame:
+    """post_id, decision: full outer join of the catalogue with the index (post_id, fingerprint, tags, completeness)."""
+    i = index.select("post_id", F.col("fingerprint").alias("ifp"), F.col("tags").alias("it"))
+    x = catalogue.withColumn("c", F.lit(1)).join(i, "post_id", "full")
+    d = F.when(F.col("c").isNull(), "REMOVED").when(F.col("completeness") == "SUMMARY", F.when(F.col("ifp").isNull(), "EXCLUDED").otherwise("REMOVED")).when(F.col("ifp").isNull(), "ADDED")
+    return x.select("post_id", d.when(F.col("ifp") != F.col("fingerprint"), "RE_EMBEDDED").when(F.col("it") != F.col("tags"), "METADATA_REFRESHED").otherwise("UNCHANGED").alias("decision"))
+
+
+def best_entries(entries: DataFrame, query: list[float], sites: list[str] | None = None, limit: int = 10) -> DataFrame:
+    """Best entry per post (chunk before image, lower index), ranked, clamped to 1..20 posts."""
+    dot = reduce(lambda a, b: a + b, [F.col("embedding")[i].cast("double") * v for i, v in enumerate(query)])
+    e = entries.where(F.col("site_id").isin(sites)) if sites else entries
+    best = e.withColumn("score", dot).groupBy("post_no").agg(F.min(F.struct(-F.col("score"), "kind", "idx")).alias("m"))
+    out = best.select("post_no", F.round(-F.col("m")["col1"], 6).alias("score"), F.col("m")["kind"].alias("kind"), F.col("m")["idx"].alias("idx"))
+    return out.orderBy(F.desc("score"), "post_no").limit(min(20, max(1, limit)))
+
+
+def high_water(feed: DataFrame) -> DataFrame:
+    """Running high-water mark per page, page maxima first."""
+    pages = feed.groupBy("page").agg(F.max("ts").alias("m"))
+    return pages.select("page", F.max("m").over(W.orderBy("page").rowsBetween(W.unboundedPreceding, W.currentRow)).alias("mark"))
