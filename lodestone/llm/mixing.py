@@ -35,7 +35,7 @@ def mix(docs: DataFrame, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
     plan = targets(d, cap)
     sums = d.groupBy("source", "b").agg(F.sum("size").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     cells = sums.join(plan, sums.source.eqNullSafe(plan.source)).drop(plan.source)
-    cells = cells.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    cells = cells.withColumn("epochs", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0))).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     cells = cells.select(F.col("source").alias("s"), F.col("b").alias("cb"), "before", "sum", "source_size", "target", "epochs", "rest")
     x = d.join(cells, d.source.eqNullSafe(cells.s) & (d.b == cells.cb))
     edge = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest"))

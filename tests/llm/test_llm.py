@@ -114,7 +114,9 @@ def encoded(name, end, t):
     import public_tokenizers as p
     from tokenizers import Tokenizer
 
-    tok = encoded.memo.setdefault(name, Tokenizer.from_file(p.path(name)))
+    if name not in encoded.memo:
+        encoded.memo[name] = Tokenizer.from_file(p.path(name))
+    tok = encoded.memo[name]
     return np.array(tok.encode(t, add_special_tokens=False).ids + [end], "<u4")
 
 
