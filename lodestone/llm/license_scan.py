@@ -8,7 +8,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Base phrases and labels.
@@ -33,14 +33,14 @@ def frequencies(docs: DataFrame) -> dict[str, int]:
     """Corpus counts of the templates' tokens; the result is bounded by the templates."""
     vocab = {w.encode() for t in TEMPLATES for w in t[0]}
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Counter = Counter()
         for p in it:
-            for t in p["text"]:
-                c.update(filter(vocab.__contains__, words(t)))
-        yield pd.DataFrame({"w": [k.decode() for k in c], "n": list(c.values())})
+            for t in p.column(0):
+                c.update(filter(vocab.__contains__, words(t.as_py())))
+        yield pa.RecordBatch.from_arrays([pa.array([k.decode() for k in c], pa.string()), pa.array(list(c.values()), pa.int64())], ["w", "n"])
 
-    return dict(map(tuple, docs.select("text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n")).collect()))
+    return dict(map(tuple, docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n")).collect()))
 
 
 def compile_templates(freq: dict[str, int]) -> list[dict]:
@@ -91,10 +91,12 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 def query(docs: DataFrame) -> DataFrame:
     compiled = compile_templates(frequencies(docs))
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SCHEMA.split(", ")])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in it:
-            out = pd.DataFrame([scan_one(t, compiled) for t in p["text"]], columns=[c.split()[0] for c in SCHEMA.split(", ")[1:]])
-            out.insert(0, "doc_id", p["doc_id"].to_numpy())
-            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
+            rows = [{"doc_id": d, **scan_one(t.as_py(), compiled)} for d, t in zip(p.column(0).to_pylist(), p.column(1), strict=True)]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
