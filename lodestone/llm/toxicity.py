@@ -2,8 +2,8 @@
 
 Null and empty texts get the score of no sentence, 0. Repeated rows are scored one by one.
 """
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 SAMPLE, VOCAB, MIN_DOCS = 2500, 3000, 4  # rows of each label, words kept, documents a word needs
+PREFIXES = (4, 5)  # lengths of word beginnings, which inflected forms share
 _WORD, _END = re.compile(r"\w+"), re.compile(r"[.!?\n]+")
 
 
@@ -22,6 +23,15 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out + [(at, len(text))] if text and at < len(text) else out
 
 
+def parts(word: str) -> list[str]:
+    """A word's cues: itself and its beginnings."""
+    return [word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
+
+
+def cues(sentence: str) -> set[str]:
+    return {c for w in {*_WORD.findall(sentence.lower())} for c in parts(w)}
+
+
 def held_out(mod: int, rest: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == rest
 
@@ -33,24 +43,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     share = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()], F.lit(0.0))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id").limit(3 * sample).collect()
-    sents = [[{*_WORD.findall(r.text[a:b].lower())} for a, b in sentences(r.text)] for r in rows]
-    y = np.array([r.toxic for r in rows], float)
-    seen = [Counter(), Counter()]
+    return fit([r.text for r in rows], np.array([r.toxic for r in rows], float))
+
+
+def fit(texts: list[str | None], y: np.ndarray) -> dict:
+    """Noisy-or over logistic sentence scores, by full-batch Adam on the documents' log-likelihood."""
+    ids: dict[str, int] = {}
+    sents = [[np.array([ids.setdefault(x, len(ids)) for x in cues(text[a:b])], np.int32) for a, b in sentences(text)] for text in texts]
+    names, seen = list(ids), np.zeros((2, len(ids)))
     for bag, t in zip(sents, y, strict=True):
-        seen[int(t)].update(set().union(*bag))
+        if bag:
+            seen[int(t), np.unique(np.concatenate(bag))] += 1
     n0, n1 = max(1, (y == 0).sum()), max(1, (y == 1).sum())
-    gain = {w: abs(np.log((seen[1][w] + 0.5) / n1) - np.log((seen[0][w] + 0.5) / n0)) * np.sqrt(k) for w in {*seen[0], *seen[1]} if (k := seen[0][w] + seen[1][w]) >= MIN_DOCS}
-    vocab = {w: i for i, w in enumerate(sorted(gain, key=lambda w: (-gain[w], w))[:VOCAB])}
-    # rows of the sparse matrix: sentence, word; each sentence belongs to a document
-    si, wi, di = [], [], []
-    for d, bag in enumerate(sents):
-        for words in bag:
-            for w in words:
-                if w in vocab:
-                    si.append(len(di))
-                    wi.append(vocab[w])
-            di.append(d)
-    si, wi, di = (np.array(x, int) for x in (si, wi, di))
+    gain = np.abs(np.log((seen[1] + 0.5) / n1) - np.log((seen[0] + 0.5) / n0)) * np.sqrt(seen.sum(0))
+    best = sorted(np.nonzero(seen.sum(0) >= MIN_DOCS)[0], key=lambda i: (-gain[i], names[i]))[:VOCAB]
+    vocab, column = {names[i]: k for k, i in enumerate(best)}, np.full(len(names), -1)
+    column[best] = np.arange(len(best))
+    # entries of the sparse matrix: sentence, cue; each sentence belongs to a document
+    bags = [(d, x) for d, bag in enumerate(sents) for x in bag]
+    di = np.array([d for d, _ in bags], int)
+    si = np.repeat(np.arange(len(bags)), [len(x) for _, x in bags]) if bags else np.zeros(0, int)
+    wi = column[np.concatenate([x for _, x in bags])] if bags else np.zeros(0, int)
+    si, wi = si[wi >= 0], wi[wi >= 0]
     w, b, m, v = np.zeros(len(vocab) + 1), -4.0, 0.0, 0.0
     w[-1] = b
     for step in range(1, 301):
@@ -66,16 +80,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return {"bias": float(w[-1]), "words": {k: float(w[i]) for k, i in vocab.items() if abs(w[i]) > 0.01}}
 
 
-def score_one(text: str | None, model: dict) -> tuple[float, list[tuple[int, int, float]]]:
-    """Document score, and (start, end, score) of offending sentences."""
-    words, bias, none, bad = model["words"], model["bias"], 0.0, []
-    for a, b in sentences(text):
-        z = bias + sum(words[x] for x in {*_WORD.findall(text[a:b].lower())} if x in words)
-        p = 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
-        none += np.log1p(-min(p, 1 - 1e-9))
-        if p >= 0.5:
-            bad.append((a, b, float(p)))
-    return float(1 - np.exp(none)), bad
+class Scorer:
+    """Applies a model; remembers which of its cues a word holds."""
+
+    def __init__(self, model: dict, memo: int = 300_000):
+        self.words, self.bias, self.memo, self.known = model["words"], model["bias"], memo, {}
+
+    def held(self, word: str) -> tuple[str, ...]:
+        got = tuple(c for c in parts(word) if c in self.words)
+        if len(self.known) >= self.memo:
+            self.known.clear()
+        if len(word) < 40:
+            self.known[word] = got
+        return got
+
+    def one(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
+        """Document score, and (start, end, score) of offending sentences."""
+        none, bad, known = 0.0, [], self.known
+        for a, b in sentences(text):
+            found = set()
+            for w in _WORD.findall(text[a:b].lower()):
+                c = known.get(w)
+                if c is None:
+                    c = self.held(w)
+                if c:
+                    found.update(c)
+            z = self.bias + sum(self.words[x] for x in sorted(found))
+            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
+            none += math.log1p(-min(p, 1 - 1e-9))
+            if p >= 0.5:
+                bad.append((a, b, p))
+        return 1 - math.exp(none), bad
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -84,8 +119,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     @F.pandas_udf("score double, offending array<struct<start:int,end:int,score:double>>")
     def f(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(sent.value)
         for s in it:
-            got = [score_one(t, sent.value) for t in s]
+            got = [scorer.one(t) for t in s]
             yield pd.DataFrame({"score": [x for x, _ in got], "offending": [[{"start": a, "end": b, "score": c} for a, b, c in y] for _, y in got]})
 
     return docs.withColumn("toxicity", f(F.col("text")))
