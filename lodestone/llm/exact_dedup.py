@@ -2,7 +2,7 @@
 
 Each write task is a memtable that flushes one digest-sorted run with a Parquet Bloom filter; compaction merges runs
 by digest. Null text counts as empty; among repeated rows of the kept id one class results. Text equality is checked
-by grouping on whole texts wherever a digest occurs more than once.
+by grouping on whole texts, copies first merged in each map task, so that a large group of copies stays spread.
 """
 import uuid
 
@@ -30,10 +30,9 @@ def classes(docs: DataFrame, keep: str = "min") -> DataFrame:
     """doc_id, digest, keep_id, group_size of every row; a digest shared by different texts is resolved by its texts."""
     runs = flush(docs)
     index = compact(runs, keep)
-    hits = index.where("group_size > 1").select("digest")
     norm = docs.select("doc_id", lower_az(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("digest", F.sha2("norm", 256))
     pick = F.min("doc_id") if keep == "min" else F.max("doc_id")
-    verified = norm.join(hits, "digest", "left_semi").groupBy("digest", "norm").agg(pick.alias("keep_id"), F.count("*").alias("group_size"))
+    verified = norm.groupBy("digest", "norm").agg(pick.alias("keep_id"), F.count("*").alias("group_size"))
     clash = verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     if clash.isEmpty():
         return runs.join(index, "digest")
