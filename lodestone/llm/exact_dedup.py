@@ -8,7 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.common import lower_az, work_dir
+from lodestone.llm.common import lower_az, materialise, work_dir
+
+HOT = 1000
 
 
 def flush(docs: DataFrame) -> DataFrame:
@@ -26,18 +28,26 @@ def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
     return runs.groupBy("digest").agg(pick.alias("keep_id"), F.count("*").alias("group_size"))
 
 
+def look_up(runs: DataFrame, index: DataFrame) -> DataFrame:
+    """Each run row with its index entry. Fewer than HOT digests can hold over 1/HOT of the rows each: these are broadcast."""
+    big = F.col("group_size") > (index.agg(F.sum("group_size")).first()[0] or 0) / HOT
+    hot = F.broadcast(index.where(big))
+    rest = runs.join(hot.select("digest"), "digest", "left_anti").join(index.where(~big), "digest")
+    return runs.join(hot, "digest").unionByName(rest)
+
+
 def classes(docs: DataFrame, keep: str = "min") -> DataFrame:
     """doc_id, digest, keep_id, group_size of every row; a digest shared by different texts is resolved by its texts."""
     runs = flush(docs)
-    index = compact(runs, keep)
+    index = materialise(compact(runs, keep), "lsm-index")
     norm = docs.select("doc_id", lower_az(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("digest", F.sha2("norm", 256))
     pick = F.min("doc_id") if keep == "min" else F.max("doc_id")
     verified = norm.groupBy("digest", "norm").agg(pick.alias("keep_id"), F.count("*").alias("group_size"))
     clash = verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     if clash.isEmpty():
-        return runs.join(index, "digest")
+        return look_up(runs, index)
     split = norm.join(clash, "digest", "left_semi").join(verified, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
-    return runs.join(clash, "digest", "left_anti").join(index, "digest").select("doc_id", "digest", "keep_id", "group_size").unionByName(split)
+    return look_up(runs.join(clash, "digest", "left_anti"), index).select("doc_id", "digest", "keep_id", "group_size").unionByName(split)
 
 
 def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
