@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from lodestone.llm.common import chunked, components, materialise
 
 RADIUS, CHUNK = 3, 4096
+# Near copies: odd multiplier, word fingerprints a text, words a shingle, hashes a sketch, least similarity, rows a chunk, bits apart at most
+MIX = np.uint64(0x9E3779B97F4A7C15)
+PRINTS, SHINGLE, SKETCH, SIMILAR, NEAR_CHUNK, FAR = 4, 5, 256, 0.8, 2048, 16
 
 
 def fingerprint_of(text: str | None, shingle: int = 3) -> int:
@@ -75,9 +78,100 @@ def simhash_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ids.join(rooted.join(low, "root").select("fp", "component_id"), "fp")
 
 
+class Sketcher:
+    """Word fingerprints and a sketch of five-word shingles of whole texts."""
+
+    def __init__(self, prints: int = PRINTS, memo: int = 300_000):
+        self.prints, self.memo, self.known = prints, memo, {}
+
+    def word(self, w: bytes) -> bytes:
+        import xxhash
+
+        got = b"".join(xxhash.xxh3_128_digest(w, seed) for seed in range((self.prints + 1) // 2))
+        if len(self.known) >= self.memo:
+            self.known.clear()
+        if len(w) < 40:
+            self.known[w] = got
+        return got
+
+    def one(self, text: str | None) -> tuple[list[int], bytes]:
+        """`prints` SimHashes of the distinct words, and the SKETCH smallest hashes of the distinct shingles."""
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        if not words:
+            return [0] * self.prints, b""
+        known, wide = self.known, 16 * ((self.prints + 1) // 2)
+        all_words = np.frombuffer(b"".join([known.get(w) or self.word(w) for w in words]), np.uint8).reshape(-1, wide)
+        h = all_words[:, :8].copy().view("<u8").ravel()
+        kinds, ones = np.unique(h, return_index=True)[1], np.zeros(64 * self.prints, np.int64)
+        for k in range(0, len(kinds), 16384):
+            part = all_words[kinds[k : k + 16384], : 8 * self.prints]
+            lanes = np.unpackbits(part, axis=1, bitorder="little").view(np.uint64)
+            ones += np.add.reduceat(lanes, np.arange(0, len(part), 255), axis=0).view(np.uint8).reshape(-1, 64 * self.prints).sum(0, dtype=np.int64)
+        prints = np.packbits(ones * 2 > len(kinds), bitorder="little").view("<i8").tolist()
+        width = min(SHINGLE, len(h))
+        mixed = np.zeros(len(h) - width + 1, np.uint64)
+        for i in range(width):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX + h[i : len(h) - width + 1 + i]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX
+        return prints, np.unique(mixed)[:SKETCH].astype("<u8").tobytes()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity from two sorted sketches; exact where both texts have SKETCH or fewer shingles together."""
+    union = np.union1d(a, b)[:SKETCH]
+    return float(np.isin(union, np.intersect1d(a, b, True), True).mean()) if len(union) else 1.0
+
+
+def _near(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Breadth-first search in one bucket by sketch similarity; a row per document, not per pair.
+
+    The fingerprints' total distance, far over half of unrelated texts', only saves comparisons.
+    """
+    pdf = pdf.drop_duplicates("rep").sort_values("rep")
+    ids, f = pdf["rep"].to_numpy(np.int64), np.stack(pdf["fps"].to_numpy()).astype(np.int64).view(np.uint64)
+    sk = [np.frombuffer(x, "<u8") for x in pdf["sketch"]]
+    left, out = np.arange(len(ids)), []
+    while len(left):
+        queue, root, left = [left[0]], ids[left[0]], left[1:]
+        while queue and len(left):
+            at = queue.pop()
+            close = np.nonzero(np.bitwise_count(f[left] ^ f[at]).sum(1) <= FAR * f.shape[1])[0]
+            hit = [k for k in close if similarity(sk[left[k]], sk[at]) >= least]
+            got = left[hit].tolist()
+            queue += got
+            out += [(ids[i], root) for i in got]
+            left = np.delete(left, hit)
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def near_classes(docs: DataFrame, least: float = SIMILAR, prints: int = PRINTS, radius: int = RADIUS) -> DataFrame:
+    """doc_id, component_id: documents linked by a Jaccard similarity of `least` on five-word shingles.
+
+    Candidates share a bucket of the covering tables of one of `prints` word fingerprints, which meets every pair within
+    `radius` bits in any of them. Nulls and texts without words are one class.
+    """
+    @F.pandas_udf("fps array<long>, sketch binary")
+    def sketch(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        s = Sketcher(prints)
+        for texts in it:
+            yield pd.DataFrame([s.one(t) for t in texts], columns=["fps", "sketch"])
+
+    ids = materialise(docs.select("doc_id", sketch(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.fps", "s.sketch"), "sketches")
+    reps = materialise(ids.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "sketch-reps")
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
+    tables = F.array(*[F.col("fps")[p].bitwiseAND(F.lit(m)) for p in range(prints) for m in signed])
+    keys = ["tab", "key"]
+    keyed = reps.select("rep", F.posexplode(tables).alias(*keys))
+    met = materialise(chunked(keyed, keys, "rep", NEAR_CHUNK).select("rep", *keys, "ci", "cj"), "buckets")
+    groups = met.join(reps, "rep").groupBy(*keys, "ci", "cj")
+    comp = components(groups.applyInPandas(lambda p: _near(p, least), "a long, b long"))
+    named = reps.join(comp, reps.rep == comp.node, "left").select("fps", "sketch", F.coalesce("root", "rep").alias("component_id"))
+    return ids.join(named, ["fps", "sketch"]).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row whose doc_id names its component stays."""
-    gone = simhash_classes(docs).where("doc_id <> component_id").select("doc_id")
+    """The row whose doc_id names its class of near copies stays."""
+    gone = near_classes(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -72,6 +72,20 @@ def test_masks_cover_every_triple():
     assert all(any(not m & (1 << a | 1 << b | 1 << c) for m in ms) for a, b, c in itertools.combinations(range(64), 3))
 
 
+def test_near_classes(docs):
+    sets = {}
+    for d, t in texts(docs):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t.translate(AZ))
+        sets[d] = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or ({tuple(ws)} if ws else set())
+    sim = {(a, b): (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0) for a, b in itertools.combinations(sorted(sets), 2)}
+    sure = brute_components(sets, [p for p, j in sim.items() if j >= 0.88])
+    most = brute_components(sets, [p for p, j in sim.items() if j >= 0.72])
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(docs).collect()}
+    assert got.keys() == sets.keys()
+    assert all(got[a] == got[b] for a, b in sure.items())
+    assert all(most[got[d]] == most[d] for d in sets)
+
+
 def test_mixing(docs):
     rows = mixing.query(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
