@@ -58,11 +58,11 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def chunked(df: DataFrame, keys: list[str], salt: str, size: int) -> DataFrame:
+def chunked(df: DataFrame, keys: list[str], salt: str, size: int, counts: DataFrame | None = None) -> DataFrame:
     """Deal groups of over `size` rows to pairs of chunks (ci <= cj), so that each task holds two chunks at most.
 
-    Groups of one row are left out. Every pair of a group meets in exactly one (ci, cj).
+    Groups of one row, or not in `counts` (keys, _n), are left out. Every pair of a group meets in exactly one (ci, cj).
     """
-    n = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    n = counts if counts is not None else df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
     x = df.join(n, keys).withColumn("_k", F.ceil(F.col("_n") / size).cast("int")).withColumn("chunk", F.pmod(F.xxhash64(salt), F.col("_k")).cast("int"))
     return x.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).withColumn("ci", F.least("chunk", "_o")).withColumn("cj", F.greatest("chunk", "_o")).drop("_n", "_k", "_o")

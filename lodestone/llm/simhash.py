@@ -2,6 +2,7 @@
 
 Nulls and empty texts have fingerprint zero and link like any other; repeated rows and ties fall in one class.
 """
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,70 +79,93 @@ def simhash_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return ids.join(rooted.join(low, "root").select("fp", "component_id"), "fp")
 
 
-class Sketcher:
-    """Word fingerprints and a sketch of five-word shingles of whole texts."""
-
-    def __init__(self, prints: int = PRINTS, memo: int = 300_000):
-        self.prints, self.memo, self.known = prints, memo, {}
-
-    def word(self, w: bytes) -> bytes:
-        import xxhash
-
-        got = b"".join(xxhash.xxh3_128_digest(w, seed) for seed in range((self.prints + 1) // 2))
-        if len(self.known) >= self.memo:
-            self.known.clear()
-        if len(w) < 40:
-            self.known[w] = got
-        return got
-
-    def one(self, text: str | None) -> tuple[list[int], bytes]:
-        """`prints` SimHashes of the distinct words, and the SKETCH smallest hashes of the distinct shingles."""
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return [0] * self.prints, b""
-        known, wide = self.known, 16 * ((self.prints + 1) // 2)
-        all_words = np.frombuffer(b"".join([known.get(w) or self.word(w) for w in words]), np.uint8).reshape(-1, wide)
-        h = all_words[:, :8].copy().view("<u8").ravel()
-        kinds, ones = np.unique(h, return_index=True)[1], np.zeros(64 * self.prints, np.int64)
-        for k in range(0, len(kinds), 16384):
-            part = all_words[kinds[k : k + 16384], : 8 * self.prints]
-            lanes = np.unpackbits(part, axis=1, bitorder="little").view(np.uint64)
-            ones += np.add.reduceat(lanes, np.arange(0, len(part), 255), axis=0).view(np.uint8).reshape(-1, 64 * self.prints).sum(0, dtype=np.int64)
-        prints = np.packbits(ones * 2 > len(kinds), bitorder="little").view("<i8").tolist()
-        width = min(SHINGLE, len(h))
-        mixed = np.zeros(len(h) - width + 1, np.uint64)
-        for i in range(width):
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX + h[i : len(h) - width + 1 + i]
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * MIX
-        return prints, np.unique(mixed)[:SKETCH].astype("<u8").tobytes()
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity from two sorted sketches; exact where both texts have SKETCH or fewer shingles together."""
-    union = np.union1d(a, b)[:SKETCH]
-    return float(np.isin(union, np.intersect1d(a, b, True), True).mean()) if len(union) else 1.0
-
-
-def _near(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Breadth-first search in one bucket by sketch similarity; a row per document, not per pair.
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * MIX
+    return (h ^ (h >> np.uint64(32))) * MIX
+
+
+def sketch_of(text: str | None, prints: int = PRINTS) -> tuple[list[int], bytes]:
+    """`prints` SimHashes of the whole text's distinct words, and the SKETCH smallest hashes of its distinct shingles."""
+    from xxhash import xxh3_64_digest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return [0] * prints, b""
+    h = np.frombuffer(b"".join(map(xxh3_64_digest, words)), "<u8")
+    kinds, got = np.unique(h), []
+    for p in range(prints):
+        bits, ones = _mix(kinds + np.uint64(p) * MIX), np.zeros(64, np.int64)
+        for k in range(0, len(bits), 65536):
+            part = bits[k : k + 65536]
+            lanes = np.unpackbits(part.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
+            ones += np.add.reduceat(lanes, np.arange(0, len(part), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
+        got.append(int(np.packbits(ones * 2 > len(kinds), bitorder="little").view("<i8")[0]))
+    width = min(SHINGLE, len(h))
+    mixed = np.zeros(len(h) - width + 1, np.uint64)
+    for i in range(width):
+        mixed = _mix(mixed) + h[i : len(h) - width + 1 + i]
+    return got, np.unique(_mix(mixed))[:SKETCH].astype("<u8").tobytes()
+
+
+class Sketches:
+    """Jaccard similarity of one sketched text with many; exact for a pair with SKETCH or fewer shingles in either text."""
+
+    def __init__(self, blobs: np.ndarray):
+        parts = [np.frombuffer(x, "<u8") for x in blobs]
+        self.size = np.array([len(x) for x in parts])
+        kinds, codes = np.unique(np.concatenate(parts), return_inverse=True)
+        self.none = len(kinds)
+        self.rows = np.full((len(parts), SKETCH), self.none, np.int32)
+        self.rows[np.arange(SKETCH) < self.size[:, None]] = codes
+        self.top = np.where(self.size == SKETCH, self.rows[:, -1], self.none - 1)
+
+    def to(self, at: int, others: np.ndarray) -> np.ndarray:
+        """Share of common hashes among those up to the lower of both sketches' ends."""
+        mine, rows = self.rows[at, : self.size[at]], self.rows[others]
+        held = np.zeros(self.none + 1, bool)
+        held[mine] = True
+        end = np.minimum(self.top[others], self.top[at])
+        both = np.count_nonzero(held[rows], axis=1)
+        either = np.count_nonzero(rows <= end[:, None], axis=1) + np.searchsorted(mine, end, "right") - both
+        return np.where(either == 0, 1.0, both / np.maximum(either, 1))
+
+
+def _near(ids: np.ndarray, f: np.ndarray, blobs: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Breadth-first search in one bucket by sketch similarity; a link per document, not per pair.
 
     The fingerprints' total distance, far over half of unrelated texts', only saves comparisons.
     """
-    pdf = pdf.drop_duplicates("rep").sort_values("rep")
-    ids, f = pdf["rep"].to_numpy(np.int64), np.stack(pdf["fps"].to_numpy()).astype(np.int64).view(np.uint64)
-    sk = [np.frombuffer(x, "<u8") for x in pdf["sketch"]]
-    left, out = np.arange(len(ids)), []
+    if np.bitwise_count(f ^ f[0]).sum(1).max() > FAR * f.shape[1] and len(ids) == 2:
+        return []
+    sketches, left, out = Sketches(blobs), np.arange(len(ids)), []
     while len(left):
         queue, root, left = [left[0]], ids[left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
             close = np.nonzero(np.bitwise_count(f[left] ^ f[at]).sum(1) <= FAR * f.shape[1])[0]
-            hit = [k for k in close if similarity(sk[left[k]], sk[at]) >= least]
+            hit = close[sketches.to(at, left[close]) >= least]
             got = left[hit].tolist()
             queue += got
             out += [(ids[i], root) for i in got]
             left = np.delete(left, hit)
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return out
+
+
+def _search(batches: Iterator[pd.DataFrame], keys: list[str], least: float) -> Iterator[pd.DataFrame]:
+    """_near on each run of equal keys in sorted rows; holds one batch and one run."""
+    held = None
+    for batch in itertools.chain(batches, [None]):
+        x = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if x is None or not len(x):
+            continue
+        k = x[keys].to_numpy(np.int64)
+        cuts = [0, *(np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1).tolist(), len(x)]
+        held = None if batch is None else x.iloc[cuts[-2] :]
+        ids, f, blobs = x["rep"].to_numpy(np.int64), np.stack(x["fps"].to_numpy()).astype(np.int64).view(np.uint64), x["sketch"].to_numpy()
+        out = []
+        for a, b in itertools.pairwise(cuts if batch is None else cuts[:-1]):
+            out += _near(ids[a:b], f[a:b], blobs[a:b], least) if b - a > 1 else []
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def near_classes(docs: DataFrame, least: float = SIMILAR, prints: int = PRINTS, radius: int = RADIUS) -> DataFrame:
@@ -152,9 +176,8 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, prints: int = PRINTS,
     """
     @F.pandas_udf("fps array<long>, sketch binary")
     def sketch(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        s = Sketcher(prints)
         for texts in it:
-            yield pd.DataFrame([s.one(t) for t in texts], columns=["fps", "sketch"])
+            yield pd.DataFrame([sketch_of(t, prints) for t in texts], columns=["fps", "sketch"])
 
     ids = materialise(docs.select("doc_id", sketch(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.fps", "s.sketch"), "sketches")
     reps = materialise(ids.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "sketch-reps")
@@ -162,9 +185,14 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, prints: int = PRINTS,
     tables = F.array(*[F.col("fps")[p].bitwiseAND(F.lit(m)) for p in range(prints) for m in signed])
     keys = ["tab", "key"]
     keyed = reps.select("rep", F.posexplode(tables).alias(*keys))
-    met = materialise(chunked(keyed, keys, "rep", NEAR_CHUNK).select("rep", *keys, "ci", "cj"), "buckets")
-    groups = met.join(reps, "rep").groupBy(*keys, "ci", "cj")
-    comp = components(groups.applyInPandas(lambda p: _near(p, least), "a long, b long"))
+    # buckets of the same members are searched once
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    full = keyed.groupBy(*keys).agg(F.count("*").alias("_n"), *marks).where("_n > 1")
+    once = full.groupBy("_n", "m0", "m1").agg(F.min(F.struct(*keys)).alias("k")).select("k.*", "_n")
+    met = materialise(chunked(keyed, keys, "rep", NEAR_CHUNK, once).select("rep", *keys, "ci", "cj"), "buckets")
+    at = [*keys, "ci", "cj"]
+    runs = met.join(reps, "rep").repartition(*at).sortWithinPartitions(*at, "rep")
+    comp = components(runs.mapInPandas(lambda it: _search(it, at, least), "a long, b long"))
     named = reps.join(comp, reps.rep == comp.node, "left").select("fps", "sketch", F.coalesce("root", "rep").alias("component_id"))
     return ids.join(named, ["fps", "sketch"]).select("doc_id", "component_id")
 
