@@ -108,7 +108,7 @@ def sketch_of(text: str | None, prints: int = PRINTS) -> tuple[list[int], bytes]
 
 
 class Sketches:
-    """Jaccard similarity of one sketched text with many; exact for a pair with SKETCH or fewer shingles in either text."""
+    """Jaccard similarity of one sketched text with many; exact where both texts have fewer than SKETCH shingles."""
 
     def __init__(self, blobs: np.ndarray):
         parts = [np.frombuffer(x, "<u8") for x in blobs]
@@ -172,7 +172,7 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, prints: int = PRINTS,
     """doc_id, component_id: documents linked by a Jaccard similarity of `least` on five-word shingles.
 
     Candidates share a bucket of the covering tables of one of `prints` word fingerprints, which meets every pair within
-    `radius` bits in any of them. Nulls and texts without words are one class.
+    `radius` bits in any of them. Similarity is estimated from sketches where a text is longer. Nulls and texts without words are one class.
     """
     @F.pandas_udf("fps array<long>, sketch binary")
     def sketch(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
