@@ -2,19 +2,22 @@
 
 Nulls and empty texts have fingerprint zero and link like any other; repeated rows and ties fall in one class.
 """
-import itertools
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lodestone.llm.common import chunked, components, materialise
 
 RADIUS, CHUNK = 3, 4096
-# Near copies: odd multiplier, word fingerprints a text, words a shingle, hashes a sketch, least similarity, rows a chunk, bits apart at most
+# Near copies: odd multiplier, words a shingle, least similarity, shingles to meet at, first rows tried
 MIX = np.uint64(0x9E3779B97F4A7C15)
-PRINTS, SHINGLE, SKETCH, SIMILAR, NEAR_CHUNK, FAR = 4, 5, 256, 0.8, 2048, 16
+SHINGLE, SIMILAR, SHARED, STARS = 5, 0.8, 4, 3
+# Common shingles: one row in SAMPLE is counted, OFTEN times or more there, MOST at most
+SAMPLE, OFTEN, MOST = 16, 8, 100_000
 
 
 def fingerprint_of(text: str | None, shingle: int = 3) -> int:
@@ -84,117 +87,137 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * MIX
 
 
-def sketch_of(text: str | None, prints: int = PRINTS) -> tuple[list[int], bytes]:
-    """`prints` SimHashes of the whole text's distinct words, and the SKETCH smallest hashes of its distinct shingles."""
+def shingles_of(text: str | None) -> np.ndarray:
+    """Sorted hashes of the whole text's distinct five-word shingles (one of all words, where they are fewer)."""
     from xxhash import xxh3_64_digest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * prints, b""
+        return np.zeros(0, np.uint64)
     h = np.frombuffer(b"".join(map(xxh3_64_digest, words)), "<u8")
-    kinds, got = np.unique(h), []
-    for p in range(prints):
-        bits, ones = _mix(kinds + np.uint64(p) * MIX), np.zeros(64, np.int64)
-        for k in range(0, len(bits), 65536):
-            part = bits[k : k + 65536]
-            lanes = np.unpackbits(part.view(np.uint8), bitorder="little").view(np.uint64).reshape(-1, 8)
-            ones += np.add.reduceat(lanes, np.arange(0, len(part), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(0, dtype=np.int64)
-        got.append(int(np.packbits(ones * 2 > len(kinds), bitorder="little").view("<i8")[0]))
     width = min(SHINGLE, len(h))
     mixed = np.zeros(len(h) - width + 1, np.uint64)
     for i in range(width):
         mixed = _mix(mixed) + h[i : len(h) - width + 1 + i]
-    return got, np.unique(_mix(mixed))[:SKETCH].astype("<u8").tobytes()
+    return np.unique(_mix(mixed))
 
 
-class Sketches:
-    """Jaccard similarity of one sketched text with many; exact where both texts have fewer than SKETCH shingles."""
+def needed(n: int, least: float) -> int:
+    """Shingles that a text of n must share with any text as similar as `least`."""
+    return ceil(least * n - 1e-9)
 
-    def __init__(self, blobs: np.ndarray):
-        parts = [np.frombuffer(x, "<u8") for x in blobs]
-        self.size = np.array([len(x) for x in parts])
-        kinds, codes = np.unique(np.concatenate(parts), return_inverse=True)
-        self.none = len(kinds)
-        self.rows = np.full((len(parts), SKETCH), self.none, np.int32)
-        self.rows[np.arange(SKETCH) < self.size[:, None]] = codes
-        self.top = np.where(self.size == SKETCH, self.rows[:, -1], self.none - 1)
 
-    def to(self, at: int, others: np.ndarray) -> np.ndarray:
-        """Share of common hashes among those up to the lower of both sketches' ends."""
-        mine, rows = self.rows[at, : self.size[at]], self.rows[others]
-        held = np.zeros(self.none + 1, bool)
-        held[mine] = True
-        end = np.minimum(self.top[others], self.top[at])
-        both = np.count_nonzero(held[rows], axis=1)
-        either = np.count_nonzero(rows <= end[:, None], axis=1) + np.searchsorted(mine, end, "right") - both
-        return np.where(either == 0, 1.0, both / np.maximum(either, 1))
+def prefix_of(grams: np.ndarray, common: np.ndarray, least: float, shared: int) -> np.ndarray:
+    """The first n - needed + shared shingles in one order for all texts: rare ones by hash, then the `common`.
 
-
-def _near(ids: np.ndarray, f: np.ndarray, blobs: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Breadth-first search in one bucket by sketch similarity; a link per document, not per pair.
-
-    The fingerprints' total distance, far over half of unrelated texts', only saves comparisons.
+    Two texts as similar as `least` hold their first min(shared, needed) common shingles in both prefixes, whatever `common` is.
     """
-    if np.bitwise_count(f ^ f[0]).sum(1).max() > FAR * f.shape[1] and len(ids) == 2:
-        return []
-    sketches, left, out = Sketches(blobs), np.arange(len(ids)), []
-    while len(left):
-        queue, root, left = [left[0]], ids[left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            close = np.nonzero(np.bitwise_count(f[left] ^ f[at]).sum(1) <= FAR * f.shape[1])[0]
-            hit = close[sketches.to(at, left[close]) >= least]
-            got = left[hit].tolist()
-            queue += got
-            out += [(ids[i], root) for i in got]
-            left = np.delete(left, hit)
-    return out
-
-
-def _search(batches: Iterator[pd.DataFrame], keys: list[str], least: float) -> Iterator[pd.DataFrame]:
-    """_near on each run of equal keys in sorted rows; holds one batch and one run."""
-    held = None
-    for batch in itertools.chain(batches, [None]):
-        x = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if x is None or not len(x):
-            continue
-        k = x[keys].to_numpy(np.int64)
-        cuts = [0, *(np.nonzero((k[1:] != k[:-1]).any(1))[0] + 1).tolist(), len(x)]
-        held = None if batch is None else x.iloc[cuts[-2] :]
-        ids, f, blobs = x["rep"].to_numpy(np.int64), np.stack(x["fps"].to_numpy()).astype(np.int64).view(np.uint64), x["sketch"].to_numpy()
-        out = []
-        for a, b in itertools.pairwise(cuts if batch is None else cuts[:-1]):
-            out += _near(ids[a:b], f[a:b], blobs[a:b], least) if b - a > 1 else []
-        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
-def near_classes(docs: DataFrame, least: float = SIMILAR, prints: int = PRINTS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, component_id: documents linked by a Jaccard similarity of `least` on five-word shingles.
-
-    Candidates share a bucket of the covering tables of one of `prints` word fingerprints, which meets every pair within
-    `radius` bits in any of them. Similarity is estimated from sketches where a text is longer. Nulls and texts without words are one class.
+    n, often = len(grams), np.isin(grams, common)
+    need = needed(n, least)
+    return np.concatenate([grams[~often], grams[often]])[: n - need + min(shared, need)]
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n, digest, grams of each row of docs (row, doc_id, text)."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for b in it:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                grams = [shingles_of(t.as_py()).astype("<u8").tobytes() for t in part.column(2)]
+                cols = [pa.array([len(g) // 8 for g in grams], pa.int32()), pa.array(map(xxh3_128_digest, grams), pa.binary()), pa.array(grams, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["row", "doc_id", "n", "digest", "grams"])
+
+    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n int, digest binary, grams binary")
+
+
+def _exploded(sets: DataFrame, take) -> DataFrame:
+    """h, row, n: take(grams) of each row, one hash a row."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                heads = [take(np.frombuffer(g.as_py(), "<u8")) for g in part.column(2)]
+                many = np.array([len(x) for x in heads])
+                cols = [np.concatenate([*heads, np.zeros(0, np.uint64)]).astype("<u8").view("<i8"), np.repeat(part.column(0).to_numpy(), many), np.repeat(part.column(1).to_numpy(), many)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "row", "n"])
+
+    return sets.select("row", "n", "grams").mapInArrow(run, "h long, row long, n int")
+
+
+def _common(sets: DataFrame) -> np.ndarray:
+    """Shingles often met in a sample, MOST at most; any choice gives the same links, a good one fewer candidates."""
+    part = sets.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)
+    often = _exploded(part, lambda g: g).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
+    top = often.orderBy(F.desc("k"), "h").limit(MOST).select("h").toPandas()["h"]
+    return np.sort(top.to_numpy(np.int64).view(np.uint64))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have a Jaccard similarity of `least`."""
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in it:
+            keep, last, x = [], None, None
+            for a, g, o in zip(p.column(0).to_pylist(), p.column(2), p.column(3), strict=True):
+                if a != last:
+                    last, x = a, np.frombuffer(g.as_py(), "<u8")
+                y = np.frombuffer(o.as_py(), "<u8")
+                at = np.searchsorted(x, y)
+                at[at == len(x)] = 0
+                both = np.count_nonzero(x[at] == y)
+                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield p.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    one, two = sets.select(F.col("row").alias("b"), F.col("grams").alias("gb")), sets.select(F.col("row").alias("a"), F.col("grams").alias("ga"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+
+
+def _near_links(sets: DataFrame, least: float, shared: int) -> DataFrame:
+    """(a, b) links that connect all pairs of rows with a similarity of `least`, and only such.
+
+    Prefix filter: every such pair meets at `shared` shingles of both prefixes. First each row is held against the first rows
+    of its buckets, a few at most; then all pairs that these links leave apart and whose lengths and meetings allow the similarity.
     """
-    @F.pandas_udf("fps array<long>, sketch binary")
-    def sketch(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in it:
-            yield pd.DataFrame([sketch_of(t, prints) for t in texts], columns=["fps", "sketch"])
-
-    ids = materialise(docs.select("doc_id", sketch(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.fps", "s.sketch"), "sketches")
-    reps = materialise(ids.groupBy("fps", "sketch").agg(F.min("doc_id").alias("rep")), "sketch-reps")
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
-    tables = F.array(*[F.col("fps")[p].bitwiseAND(F.lit(m)) for p in range(prints) for m in signed])
-    keys = ["tab", "key"]
-    keyed = reps.select("rep", F.posexplode(tables).alias(*keys))
-    # buckets of the same members are searched once
-    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"m{i}") for i in range(2)]
-    full = keyed.groupBy(*keys).agg(F.count("*").alias("_n"), *marks).where("_n > 1")
-    once = full.groupBy("_n", "m0", "m1").agg(F.min(F.struct(*keys)).alias("k")).select("k.*", "_n")
-    met = materialise(chunked(keyed, keys, "rep", NEAR_CHUNK, once).select("rep", *keys, "ci", "cj"), "buckets")
-    at = [*keys, "ci", "cj"]
-    runs = met.join(reps, "rep").repartition(*at).sortWithinPartitions(*at, "rep")
-    comp = components(runs.mapInPandas(lambda it: _search(it, at, least), "a long, b long"))
-    named = reps.join(comp, reps.rep == comp.node, "left").select("fps", "sketch", F.coalesce("root", "rep").alias("component_id"))
-    return ids.join(named, ["fps", "sketch"]).select("doc_id", "component_id")
+    common = _common(sets)
+    keyed = _exploded(sets, lambda g: prefix_of(g, common, least, shared))
+    w = W.partitionBy("h")
+    met = keyed.withColumn("c", F.count("*").over(w)).withColumn("f", F.min(F.struct("row", "n")).over(w)).where("c > 1")
+    met = materialise(met.select("h", "row", "n", F.col("f.row").alias("b"), F.col("f.n").alias("m")), "buckets")
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least) - F.lit(1e-9)
+    stars = met.where((F.col("row") != F.col("b")) & fits("n", "m")).groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("k"))
+    stars = stars.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("k"), "b"))).where(F.col("_r") <= STARS).select("a", "b")
+    first = materialise(_similar(stars, sets, least), "stars")
+    up = first.groupBy("a").agg(F.min("b").alias("b"))
+    over = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    label = up.join(over, "b", "left").select(F.col("a").alias("row"), F.coalesce("c", "b").alias("label"))
+    x = met.select("h", "row", "n").join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
+    x = x.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").select("h", "row", "n", "label")
+    y = x.select("h", F.col("row").alias("b"), F.col("n").alias("m"), F.col("label").alias("l"))
+    pairs = x.join(y, "h").where((F.col("row") > F.col("b")) & (F.col("label") != F.col("l")) & fits("n", "m"))
+    pairs = pairs.groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("k"), F.min(F.least("n", "m")).alias("n"))
+    pairs = pairs.where(F.col("k") >= F.least(F.lit(shared), F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)))).select("a", "b")
+    return first.unionByName(_similar(pairs, sets, least))
+
+
+def near_rows(docs: DataFrame, least: float = SIMILAR, shared: int = SHARED) -> DataFrame:
+    """row, doc_id, root: rows of docs (row, doc_id, text) linked by a Jaccard similarity of `least` on five-word shingles.
+
+    Exact at any length, but for equal 64-bit hashes of different shingles. Nulls and texts without words are one class.
+    """
+    ids = materialise(_sets(docs), "shingles")
+    groups = ids.groupBy("digest").agg(F.min("row").alias("b"), F.count("*").alias("k")).where("k > 1")
+    same = materialise(ids.select("row", "digest").join(groups, "digest").where("row <> b").select(F.col("row").alias("a"), "b"), "same")
+    sets = ids.where("n > 0").join(same.select(F.col("a").alias("row")), "row", "left_anti").select("row", "n", "grams")
+    comp = components(same.unionByName(_near_links(sets, least, shared)))
+    return ids.select("row", "doc_id").join(comp, F.col("row") == F.col("node"), "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
+
+
+def near_classes(docs: DataFrame, least: float = SIMILAR, shared: int = SHARED) -> DataFrame:
+    """doc_id, component_id of every row: the smallest doc_id of its class of near copies."""
+    rows = materialise(near_rows(docs.withColumn("row", F.monotonically_increasing_id()), least, shared), "near")
+    low = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(low, "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

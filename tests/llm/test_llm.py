@@ -86,6 +86,36 @@ def test_near_classes(docs):
     assert all(most[got[d]] == most[d] for d in sets)
 
 
+def shingle_set(text):
+    ws = text.split()
+    return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+
+def edited_pairs(lengths, most, each, seed=7):
+    """(text, near copy, Jaccard similarity) by length: single words replaced, by common or by unseen ones, until below a bound in 0.78..most."""
+    rng, out = np.random.default_rng(seed), defaultdict(list)
+    for n, k in itertools.product(lengths, range(each)):
+        words = [f"w{i}" for i in rng.zipf(1.3, n) % 20000]
+        copy, whole, bound, j = list(words), shingle_set(" ".join(words)), rng.uniform(0.78, most), 1.0
+        for step, i in enumerate(rng.permutation(n).tolist()):
+            if step % max(1, n // 500) == 0:
+                part = shingle_set(" ".join(copy))
+                if (now := len(whole & part) / len(whole | part)) < bound:
+                    break
+                kept, j = list(copy), now
+            copy[i] = f"new{n}x{k}x{i}" if k % 2 else f"w{rng.zipf(1.3) % 20000}"
+        out[n].append((" ".join(words), " ".join(kept), j))
+    return out
+
+
+def test_near_copies_of_any_length(spark):
+    pairs = [p for got in edited_pairs([60, 150, 400, 1500, 10000], 0.88, 12).values() for p in got]
+    rows = [(2 * i + s, p[s], "en", "a", 0) for i, p in enumerate(pairs) for s in (0, 1)]
+    got = {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, (_, _, j) in enumerate(pairs):
+        assert (got[2 * i + 1] == got[2 * i] == 2 * i) if j >= 0.8 else (got[2 * i + 1] == 2 * i + 1)
+
+
 def test_mixing(docs):
     rows = mixing.query(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
