@@ -86,6 +86,26 @@ def test_near_classes(docs):
     assert all(most[got[d]] == most[d] for d in sets)
 
 
+def test_near_classes_at_the_limit_exactly(docs):
+    sets = {}
+    for d, t in texts(docs):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t.translate(AZ))
+        sets[d] = {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or ({tuple(ws)} if ws else set())
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert {r.doc_id: r.component_id for r in simhash.near_classes(docs).collect()} == brute_components(sets, links)
+
+
+def test_near_limit_of_long_texts(spark):
+    """Pairs of texts of 4000 shingles at 0.8 or just below it: one shingle decides."""
+    rows, want = [], {}
+    for k, cut in enumerate([444, 445] * 6):
+        words = [f"t{k}x{i}" for i in range(4000 + 4)]
+        # the last `cut` words changed leave 4000 - cut shingles of 4000 + cut: 3556 / 4444 >= 0.8 > 3555 / 4445
+        rows += [(2 * k, " ".join(words), "en", "a", 0), (2 * k + 1, " ".join(words[:-cut] + [f"u{k}x{i}" for i in range(cut)]), "en", "a", 0)]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (cut == 445)}
+    assert {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 def shingle_set(text):
     ws = text.split()
     return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
