@@ -26,6 +26,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row, _row, in a table, so that every use sees the same keys."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def lower_az(c):
     """Lower-case A-Z only; pure ASCII takes the fast path."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, AZ, AZ.lower()))

@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.common import lower_az, materialise, work_dir
+from lodestone.llm.common import lower_az, materialise, numbered, work_dir
 
 HOT = 1000
 
@@ -51,8 +51,17 @@ def classes(docs: DataFrame, keep: str = "min") -> DataFrame:
 
 
 def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
-    gone = classes(docs, keep).where("doc_id <> keep_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each text stays: the one with the kept doc_id, null last, the first of equal ones.
+
+    Classes are found on row keys, so that null and repeated doc_ids count as rows.
+    """
+    rows = numbered(docs)
+    groups = classes(rows.select(F.col("_row").alias("doc_id"), "text"), keep).where("group_size > 1")
+    named = groups.select(F.col("doc_id").alias("_row"), F.col("keep_id").alias("class")).join(rows.select("_row", "doc_id"), "_row")
+    pick = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", (-F.col("_row")).alias("at"))) if keep == "max" else F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.col("_row").alias("at")))
+    kept = named.groupBy("class").agg(F.abs(pick["at"]).alias("kept"))
+    gone = named.join(kept, "class").where("_row <> kept").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ Null text has size 0; null source is a source of its own, last. Ties go by doc_i
 """
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lodestone.llm.common import materialise
+from lodestone.llm.common import materialise, numbered
 
 SEED, CAP, BUCKETS = "mix-1", 3, 1024
 
@@ -20,8 +20,8 @@ def targets(sized: DataFrame, cap: int = CAP) -> DataFrame:
     return s.withColumn("fill", F.max("level").over(every)).select("source", "source_size", F.least(F.col("source_size") * F.lit(float(cap)), F.col("fill") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, cap: int = CAP, buckets: int = BUCKETS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The columns `carry` of docs, doc_id, source, size, source_size, target, copies, taken.
 
     Complete epochs first; the rest goes to the smallest keys -ln(u)/w. Keys fall in buckets, whose sums decide whole
     buckets; only a source's boundary bucket is sorted, so that no task gets a whole source.
@@ -30,7 +30,7 @@ def mix(docs: DataFrame, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
     size = F.size(F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")).cast("long")
     marks = F.length(t) - F.length(F.translate(t, "#$%&*|!{}<>", ""))
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED))), 1, 13), 16, 10).cast("double") + 1) / F.lit(2.0**52 + 1)
-    base = docs.select("doc_id", "source", size.alias("size"), (F.lit(1.0) - F.lit(0.75) * marks / F.greatest(F.length(t), F.lit(1))).alias("q"), u.alias("u"))
+    base = docs.select(*carry, "doc_id", "source", size.alias("size"), (F.lit(1.0) - F.lit(0.75) * marks / F.greatest(F.length(t), F.lit(1))).alias("q"), u.alias("u"))
     d = materialise(base.withColumn("key", -F.log("u") / F.col("q")).withColumn("b", F.least(F.lit(buckets - 1), F.floor((1 - F.exp(-F.col("key"))) * buckets))).drop("u", "q"), "mix")
     plan = targets(d, cap)
     sums = d.groupBy("source", "b").agg(F.sum("size").alias("sum")).withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -44,13 +44,14 @@ def mix(docs: DataFrame, cap: int = CAP, buckets: int = BUCKETS) -> DataFrame:
     inside = x.where(edge).withColumn("more", (upto - F.col("size") / 2 <= F.col("rest")).cast("int"))
     whole = x.where(~edge).withColumn("more", (F.col("before") + F.col("sum") <= F.col("rest")).cast("int"))
     out = inside.unionByName(whole).withColumn("copies", (F.col("epochs") + F.col("more")).cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*carry, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    n = mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(n, "doc_id").withColumn("_c", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it."""
+    rows = numbered(docs)
+    n = mix(rows, carry=("_row",)).where("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    return rows.join(n, "_row").withColumn("_c", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lodestone.llm.common import chunked, components, materialise
+from lodestone.llm.common import chunked, components, materialise, numbered
 
 RADIUS, CHUNK = 3, 4096
 # Near copies: odd multiplier, words a shingle, least similarity, shingles to meet at, first rows tried
@@ -221,9 +221,12 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, shared: int = SHARED)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The row whose doc_id names its class of near copies stays."""
-    gone = near_classes(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of near copies stays: the smallest doc_id's, null last, the first of equal ones."""
+    rows = numbered(docs)
+    near = materialise(near_rows(rows.withColumnRenamed("_row", "row")), "near")
+    kept = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    gone = near.join(kept, "root").where("row <> m.row").select(F.col("row").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

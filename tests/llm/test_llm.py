@@ -266,3 +266,26 @@ def test_pipeline_stages(spark):
         at = stage(spark, at, D)
         assert at.columns == cols and {r.doc_id for r in at.select("doc_id").collect()} <= before
     assert at.groupBy(F.lower("text")).count().where("count > 1").isEmpty()
+
+
+def test_pipeline_on_odd_ids(spark):
+    """All stages keep each text once on null and repeated ids, and run on the empty table."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a, "en", "s", 0), (None, a, "en", "s", 0), (7, b, "en", "s", 0), (7, b, "en", "s", 0), (7, c, "en", "s", 0), (9, c, "en", "s", 0), *EDGE]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, SCHEMA)
+        want = Counter((r[1] or "").translate(AZ) for r in given)
+        for keep in (exact_dedup.keep_one, simhash.keep_one):
+            assert Counter((r.text or "").translate(AZ) for r in keep(docs).collect()) == dict.fromkeys(want, 1)
+        assert {r.doc_id for r in exact_dedup.keep_one(docs).collect() if r.text == c} <= {9}
+        mixed = Counter((r.doc_id, r.text) for r in mixing.apply(docs).collect())
+        took = Counter()
+        for r in mixing.mix(docs).collect():
+            took[r.doc_id] += r.copies
+        assert {d: sum(n for (x, _), n in mixed.items() if x == d) for d in took} == dict(took)
+        at = docs
+        for name, stage in corpus_pipeline.STAGES:
+            at = stage(spark, at, "/root/testdata/sf0.001")
+            if name != "packing":
+                assert at.columns == docs.columns
+        at.collect()
