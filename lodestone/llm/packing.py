@@ -1,10 +1,11 @@
 """Hierarchical multi-length packing: tiers of 2048, 1024, 512 and 256 tokens, no shuffle.
 
-Each task packs windows of at most WINDOW ids: full 2048 blocks leave first, remainders go to the tier that holds them,
-longest first; gaps in long sequences are filled with documents of shorter tiers, the last one cut. Null text is empty and
-packs as its end id; repeated rows pack one by one.
+Each task packs windows of at most WINDOW ids: full 2048 blocks leave first, remainders go to the tier that holds them. Each
+tier packs its own pieces, longest first; gaps are filled with pieces of shorter tiers, the last one cut, and with own ones
+where no shorter are left. Step groups hold sequences of one tier, dealt by attention cost so that groups of a block are
+alike. Null text is empty and packs as its end id; repeated rows pack one by one.
 """
-from collections import deque
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,56 +15,96 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm.tokens import memo
 
-TIERS, WINDOW, GROUP, END = (2048, 1024, 512, 256), 2_000_000, 8, 1
+TIERS, WINDOW, GROUP, BLOCK, END = (2048, 1024, 512, 256), 2_000_000, 8, 8, 1
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier long, step_group long, ids binary"
 
 
+def _size(piece: tuple) -> int:
+    return len(piece[2]) // 4
+
+
 class Packer:
     def __init__(self, base: int, tiers: tuple[int, ...] = TIERS):
-        self.tiers, self.next, self.base, self.rows = tiers, {t: 0 for t in tiers}, base, []
-        self.wait: dict[int, list] = {t: [] for t in tiers}
-        self.held = 0
+        self.tiers, self.base, self.rows = tiers, base, []
+        self.sequences = self.groups = self.held = 0
+        self.wait: dict[int, list] = {t: [] for t in tiers}  # ascending sizes
+        self.tokens = {t: 0 for t in tiers}
+        self.block: dict[int, list] = {t: [] for t in tiers}
 
     def emit(self, parts: list, tier: int) -> None:
-        seq = self.base + (sum(self.next.values()))
-        group, at = self.next[tier] // (GROUP * self.tiers[0] // tier), 0
-        self.next[tier] += 1
-        for doc, start, ids, total in parts:
-            self.rows.append((doc, start, len(ids) // 4, total, seq, at, tier, group, ids))
-            at += len(ids) // 4
+        self.block[tier].append(parts)
+        if len(self.block[tier]) == BLOCK * GROUP * self.tiers[0] // tier:
+            self.deal(tier)
+
+    def deal(self, tier: int) -> None:
+        """Step groups of a block, to and fro by falling attention cost; group sizes differ by one sequence at most."""
+        seqs, self.block[tier] = sorted(self.block[tier], key=lambda parts: -sum(_size(p) ** 2 for p in parts)), []
+        many = -(-len(seqs) // (GROUP * self.tiers[0] // tier))
+        for i, parts in enumerate(seqs):
+            lap, k = divmod(i, many)
+            seq, group, at = self.base + self.sequences, self.base + self.groups + (many - 1 - k if lap % 2 else k), 0
+            self.sequences += 1
+            for doc, start, ids, total in parts:
+                self.rows.append((doc, start, len(ids) // 4, total, seq, at, tier, group, ids))
+                at += len(ids) // 4
+        self.groups += many
+
+    def file(self, piece: tuple) -> None:
+        n = _size(piece)
+        tier = min(t for t in self.tiers if t >= n)
+        insort(self.wait[tier], piece, key=_size)
+        self.tokens[tier] += n
+        self.held += n
+
+    def take(self, tier: int, at: int) -> tuple:
+        piece = self.wait[tier].pop(at)
+        self.tokens[tier] -= _size(piece)
+        self.held -= _size(piece)
+        return piece
 
     def add(self, doc: int, ids: bytes) -> None:
         total, long = len(ids) // 4, self.tiers[0]
         for k in range(0, total, long):
             piece = (doc, k, ids[4 * k : 4 * (k + long)], total)
-            n = len(piece[2]) // 4
-            if n == long:
+            if _size(piece) == long:
                 self.emit([piece], long)
             else:
-                self.wait[min(t for t in self.tiers if t >= n)].append(piece)
-                self.held += n
+                self.file(piece)
+
+    def fill(self, tier: int, length: int) -> None:
+        """One sequence of `length`: the tier's longest piece, then the longest of shorter tiers that fit, then own ones; the last is cut."""
+        order = [*(t for t in self.tiers if t < tier), tier] if tier > self.tiers[-1] else [tier]
+        parts, room, piece = [], length, self.take(tier, -1)
+        while True:
+            doc, start, ids, total = piece
+            n = min(room, len(ids) // 4)
+            parts.append((doc, start, ids[: 4 * n], total))
+            room -= n
+            if 4 * n < len(ids):
+                self.file((doc, start + n, ids[4 * n :], total))
+            if not room or not any(self.wait[t] for t in order):
+                break
+            fit = next(((t, at - 1) for t in order if (at := bisect_right(self.wait[t], room, key=_size))), None)
+            piece = self.take(*(fit or (next(t for t in (*order[-2::-1], tier) if self.wait[t]), 0)))
+        self.emit(parts, length)
 
     def flush(self, last: bool) -> None:
-        """Fill each sequence to its tier exactly; what cannot fill the smallest tier waits, or ends padded."""
-        pool = deque(sorted((p for t in self.tiers for p in self.wait[t]), key=lambda p: len(p[2])))
-        while self.held and (self.held >= self.tiers[-1] or last):
-            tier = next((t for t in self.tiers if self.held >= t), self.tiers[0])
-            parts, room = [], tier
-            while room and pool:
-                doc, start, ids, total = pool.pop() if len(pool[-1][2]) // 4 <= room or not parts else pool.popleft()
-                n = min(room, len(ids) // 4)
-                parts.append((doc, start, ids[: 4 * n], total))
-                if 4 * n < len(ids):
-                    pool.append((doc, start + n, ids[4 * n :], total))
-                room, self.held = room - n, self.held - n
-            self.emit(parts, tier)
-        self.wait = {t: [] for t in self.tiers}
-        for p in pool:
-            self.wait[min(t for t in self.tiers if t >= len(p[2]) // 4)].append(p)
+        """Fill each tier's sequences exactly; what cannot fill one waits, or goes to the largest it fills, or ends padded."""
+        for tier in self.tiers:
+            below = [t for t in self.tiers if t <= tier]
+            while self.wait[tier] and sum(self.tokens[t] for t in below) >= tier:
+                self.fill(tier, tier)
+        while last and self.held:
+            length = next((t for t in self.tiers if self.held >= t), None)
+            tier = next(t for t in self.tiers if self.wait[t])
+            self.fill(tier, length or min(t for t in self.tiers if t >= self.held))
+        for tier in self.tiers if last else ():
+            if self.block[tier]:
+                self.deal(tier)
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END) -> DataFrame:
-    """A row per piece, with its little-endian ids; step groups hold GROUP x 2048 tokens of one tier."""
+    """A row per piece, with its little-endian ids; step groups hold up to GROUP x 2048 tokens of one tier."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, p = memo(tokenizer), Packer(TaskContext.get().partitionId() << 40)
 

@@ -206,6 +206,39 @@ def test_packing(docs):
     assert pad <= 2048 * 8 and (len(ids) < 100 or pad < 0.03 * sum(map(len, ids.values())))
 
 
+def test_packing_by_tiers():
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(20, 251, 4000), np.minimum(rng.lognormal(5.5, 1.2, 4000).astype(int) + 1, 9000)):
+        p = packing.Packer(1 << 40)
+        for d, n in enumerate(lengths.tolist()):
+            p.add(d, np.full(n, d, "<u4").tobytes())
+            if p.held > 200_000:
+                p.flush(False)
+        p.flush(True)
+        seqs, groups, tokens = defaultdict(list), defaultdict(set), Counter()
+        for doc, start, n, total, seq, at, tier, group, ids in p.rows:
+            seqs[seq, tier].append((at, n, total))
+            groups[group].add((seq, tier))
+            tokens[doc] += n
+        assert tokens == Counter(dict(enumerate(lengths.tolist())))
+        assert all(g >> 40 == 1 and len({t for _, t in s}) == 1 for g, s in groups.items())
+        assert sum(sum(n for _, n, _ in s) != t for (_, t), s in seqs.items()) <= 1
+        by = Counter(t for _, t in seqs)
+        if lengths.max() <= 256:
+            assert by[256] >= sum(by.values()) - 4
+        else:
+            # each tier has its own sequences, led by a piece of its own
+            assert all(by[t] > 20 for t in packing.TIERS)
+            led = Counter(t for (_, t), s in seqs.items() if min(s)[1] > t // 2 or t == 256)
+            assert all(led[t] >= by[t] - 4 for t in packing.TIERS)
+        sizes = defaultdict(list)
+        for s in groups.values():
+            sizes[next(iter(s))[1]].append(len(s))
+        for t, many in sizes.items():
+            full = 8 * 2048 // t
+            assert max(many) <= full and (len(many) == 1 or min(many) >= full // 2 or sum(many) % (8 * full) <= full)
+
+
 def test_records(docs):
     got = Counter(map(tuple, records.query(docs).collect()))
     at, want = 0, Counter()
