@@ -3,7 +3,8 @@
 Each task packs windows of at most WINDOW ids: full 2048 blocks leave first, remainders go to the tier that holds them. Each
 tier packs its own pieces, longest first; gaps are filled with pieces of shorter tiers, the last one cut, and with own ones
 where no shorter are left. Step groups hold sequences of one tier, dealt by attention cost so that groups of a block are
-alike. Null text is empty and packs as its end id; repeated rows pack one by one.
+alike. Null text is empty and packs as its end id; repeated rows pack one by one, under a null doc_id as well; an empty table
+gives no rows; a text of any length is cut at 2048 ids; other columns are not read.
 """
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.tokens import memo
+from lodestone.llm.tokens import encoder
 
 TIERS, WINDOW, GROUP, BLOCK, END = (2048, 1024, 512, 256), 2_000_000, 8, 8, 1
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier long, step_group long, ids binary"
@@ -106,7 +107,7 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END) -> DataFrame:
     """A row per piece, with its little-endian ids; step groups hold up to GROUP x 2048 tokens of one tier."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, p = memo(tokenizer), Packer(TaskContext.get().partitionId() << 40)
+        enc, p = encoder(tokenizer), Packer(TaskContext.get().partitionId() << 40)
 
         def out():
             rows, p.rows = p.rows, []
@@ -116,12 +117,15 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
         for b in it:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                p.add(doc, enc.ids(text.as_py(), end))
-                if p.held > WINDOW:
-                    p.flush(False)
-                if len(p.rows) > 5000:
-                    yield out()
+            ids_of = b.column(0).to_pylist()
+            for at, ids, places in enc.slices(b.column(1), end):
+                raw = ids.tobytes()
+                for doc, x, y in zip(ids_of[at:], places[:-1].tolist(), places[1:].tolist(), strict=False):
+                    p.add(doc, raw[4 * x : 4 * y])
+                    if p.held > WINDOW:
+                        p.flush(False)
+                    if len(p.rows) > 5000:
+                        yield out()
         p.flush(True)
         yield out()
 

@@ -1,17 +1,19 @@
 """Brute-force versions, round trips and held-out accuracy on small tables, and edge rows."""
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import embed_dedup, exact_dedup, langid, license_scan, mixing, packing, quality, records, simhash, toxicity
+from lodestone.llm import embed_dedup, exact_dedup, langid, license_scan, mixing, packing, quality, records, simhash, tokens, toxicity
 
 D = "/root/testdata/sf0.01"
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -249,6 +251,50 @@ def test_records(docs):
     assert got == want
 
 
+ODD = list("abzAZ .,'!<|>019\n\t  \r\x0b\x0c\x1c\x85\xa0éÉßİ\u0301\u030cJj\u0338\u2003\u3000あ中😀\u200bǰ&$%#") + ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "'s", "'ll", " the"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_batches_give_the_library_s_ids(name, monkeypatch):
+    """Random strings of awkward characters, with a memo that turns over."""
+    monkeypatch.setattr(tokens, "MEMO", 500)
+    rng = random.Random(5)
+    given = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["", "<|endof", "text|>", "x" * 5000]
+    enc = tokens.Encoder(tokens.encoder(name).path)
+    for _ in range(2):
+        ids, at = enc.batch(pa.array(given), 7)
+        for i, t in enumerate(given):
+            assert ids[at[i] : at[i + 1]].tolist() == encoded(name, 7, t).tolist(), t
+
+
+def test_records_in_any_order(docs, spark):
+    odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"))
+    manifest = records.write(odd)
+    want = [(r.doc_id, r.n_tokens, bytes(r.ids)) for r in records.read(manifest).orderBy("start").collect()]
+    assert want[0][0] is None and want[0][2] == encoded("byte_bpe_50k.json", 2, "no id").tobytes()
+    mixed = [(r.doc_id, r.n_tokens, bytes(r.ids)) for r in records.shuffled(manifest, 3).collect()]
+    assert Counter(mixed) == Counter(want) and (len(want) < 100 or mixed != want)
+    first = manifest.where("docs > 0").orderBy("shard").first()
+    pairs = spark.createDataFrame([(first.shard, k) for k in reversed(range(first.docs))], "shard long, record long")
+    got = {r.record: (r.doc_id, r.n_tokens, bytes(r.ids)) for r in records.look_up(manifest, pairs).collect()}
+    assert [got[k] for k in range(first.docs)] == want[: first.docs]
+
+
+def test_damaged_index(spark):
+    manifest = records.write(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string").coalesce(1))
+    row = manifest.where("docs > 0").first()
+    with open(row.path + ".idx", "r+b") as f:
+        f.write(np.array([3], "<u8").tobytes())
+    with pytest.raises(Exception, match="checksum"):
+        records.look_up(manifest, spark.createDataFrame([(row.shard, 0)], "shard long, record long")).collect()
+
+
+def test_wide_ids():
+    for doc, ids in ((None, [1, 65536]), (-5, [0, 65535]), (3, [])):
+        got = records.unpack(records.pack(doc, np.array(ids, "<u4")))
+        assert (got[0], got[1].tolist()) == (doc, ids)
+
+
 def test_damaged_record():
     import io
 
