@@ -1,4 +1,6 @@
 """Shared folder tables and distributed connected components."""
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,25 @@ def work_dir(spark: SparkSession) -> str:
         return d.rstrip("/")
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="lodestone-"))
+    if sc.applicationId not in _own:
+        own = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own[sc.applicationId] = "file://" + own
+    return _own[sc.applicationId]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -26,9 +46,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a key of its own for each row, _row, in a table, so that every use sees the same keys."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of its own for each row, in a table, so that every use sees the same keys; and the key's name."""
+    key = spare(docs, "_row")
+    return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
 def lower_az(c):
@@ -40,26 +61,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(a, b) long links -> (node, root): smallest node reachable, by large-star and small-star rounds.
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) long links -> (node, root): smallest node reachable, by large-star and small-star rounds until nothing changes.
 
-    Each round is a written table. Nodes without links are not returned.
+    Each round is a written table, which replaces that of the round before. Nodes without links are not returned.
     """
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    spark = edges.sparkSession
+    top = f"{work_dir(spark)}/components-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{top}-{k}")
+        return spark.read.schema("u long, v long").parquet(f"{top}-{k}")
+
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), 0)
+    before, k = None, 0
+    while True:
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        k += 1
+        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), k)
+        discard(spark, f"{top}-{k - 1}")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not converge")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 

@@ -83,7 +83,7 @@ def simhash_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * MIX
+    h = (h ^ (h >> np.uint64(29))) * MIX  # wraps, as meant
     return (h ^ (h >> np.uint64(32))) * MIX
 
 
@@ -215,18 +215,18 @@ def near_rows(docs: DataFrame, least: float = SIMILAR, shared: int = SHARED) ->
 
 def near_classes(docs: DataFrame, least: float = SIMILAR, shared: int = SHARED) -> DataFrame:
     """doc_id, component_id of every row: the smallest doc_id of its class of near copies."""
-    rows = materialise(near_rows(docs.withColumn("row", F.monotonically_increasing_id()), least, shared), "near")
+    rows = materialise(near_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), least, shared), "near")
     low = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(low, "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class of near copies stays: the smallest doc_id's, null last, the first of equal ones."""
-    rows = numbered(docs)
-    near = materialise(near_rows(rows.withColumnRenamed("_row", "row")), "near")
+    rows, key = numbered(docs)
+    near = materialise(near_rows(rows.select(F.col(key).alias("row"), "doc_id", "text")), "near")
     kept = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    gone = near.join(kept, "root").where("row <> m.row").select(F.col("row").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = near.join(kept, "root").where("row <> m.row").select(F.col("row").alias(key))
+    return rows.join(gone, key, "left_anti").select(docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
