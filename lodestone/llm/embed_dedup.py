@@ -1,7 +1,8 @@
 """Embedding near-dedup by a forest of random-projection trees with spill overlap.
 
-Null, zero, non-finite vectors and null labels link with nothing. Exact copies are one representative with a multiplicity.
-A pair is counted only in the first leaf its vectors share, so that no pair leaves a task.
+Null, empty, zero, non-finite vectors and null labels link with nothing. Exact copies are one representative with a multiplicity.
+A pair is counted only in the first leaf its vectors share, so that no pair leaves a task. Vectors of different lengths are not
+compared. An empty table gives no rows; other columns are not read.
 """
 from collections.abc import Iterator
 from functools import partial
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodestone.llm.common import chunked, components, materialise
 
-LIMIT, TREES, LEAF, SPILL, SAMPLE, CHUNK, SEED = 0.98, 5, 256, 0.1, 20_000, 2048, 7
+LIMIT, TREES, LEAF, SPILL, SAMPLE, CHUNK, SEED = 0.98, 8, 256, 0.1, 20_000, 2048, 7
 
 
 def fit(reps: DataFrame, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE) -> dict:
@@ -97,13 +98,13 @@ def _compare(pdf: pd.DataFrame, limit: float) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
 
 
-def near_dups(vecs: DataFrame, limit: float = LIMIT) -> DataFrame:
+def near_dups(vecs: DataFrame, limit: float = LIMIT, leaf: int = LEAF) -> DataFrame:
     """vec_id, n_links, component_id of every row."""
     e = F.col("embedding").cast("array<double>")
     fine = F.col("label").isNotNull() & F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     base = vecs.select("vec_id", "embedding", "label", fine.alias("fine"))
     reps = materialise(base.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "vectors")
-    forest = reps.sparkSession.sparkContext.broadcast(fit(reps))
+    forest = reps.sparkSession.sparkContext.broadcast(fit(reps, leaf=leaf))
 
     def route(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in it:

@@ -1,6 +1,9 @@
 """Language identification: family first, then one-versus-one linear support vector machines inside the family.
 
-Features are hashed byte trigrams of the whole lower-cased text. Null text or text without a letter is `und`, score 0.
+Features are hashed byte trigrams of the whole lower-cased text. Null text or text without a letter is `und`, score 0, as is
+every text where no labelled one is there to learn from. Ties of votes go to the surer, then the first language. Repeated rows
+are predicted one by one; an empty table gives no rows; long texts are read whole; a column named `language` stays, the result
+then has underscores in front.
 """
 import re
 from collections.abc import Iterator
@@ -10,7 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-SAMPLE, DIM = 400, 4096  # documents of a language in expectation, hashed features
+from lodestone.llm.common import spare
+
+SAMPLE, LONGEST, DIM = 400, 50_000, 4096  # training documents of a language in expectation, their most bytes, hashed features
 # Language families by ISO 639-1 code; a code not listed is a family of its own.
 FAMILIES = {"germanic": "en de nl sv da no is", "romance": "fr es it pt ro ca gl", "slavic": "ru uk pl cs sk bg sr hr sl"}
 _LETTER = re.compile(r"[^\W\d_]")
@@ -50,7 +55,7 @@ def ovo(x: np.ndarray, names: np.ndarray) -> list[tuple[str, str, np.ndarray]]:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """Fit on a hash sample of about `sample` whole documents of each language, never of held-out rows."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 != 2))
+    known = docs.where(F.col("lang").isNotNull() & (F.octet_length("text") <= LONGEST) & (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 != 2))
     counts = dict(map(tuple, known.groupBy("lang").count().collect()))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()], F.lit(0.0))
     rows = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("doc_id", "text", "lang").orderBy("doc_id").collect()
@@ -82,17 +87,19 @@ def predict_one(text: str | None, model: dict) -> tuple[str, float]:
     return lang, float(p * q)
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: dict, name: str = "language") -> tuple[DataFrame, str]:
+    """docs plus struct<lang_pred, score>, and the name of its column."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), spare(docs, name)
 
     @F.pandas_udf("lang_pred string, score double")
     def f(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in it:
             yield pd.DataFrame([predict_one(t, sent.value) for t in s], columns=["lang_pred", "score"])
 
-    return docs.withColumn("language", f(F.col("text")))
+    return docs.withColumn(name, f(F.col("text"))), name
 
 
 def query(docs: DataFrame) -> DataFrame:
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
-    return predict(docs.select("doc_id", "text"), train(docs)).select("doc_id", held.alias("held_out"), "language.lang_pred", "language.score")
+    x, name = predict(docs.select("doc_id", "text"), train(docs))
+    return x.select("doc_id", held.alias("held_out"), F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["score"].alias("score"))

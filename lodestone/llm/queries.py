@@ -26,4 +26,4 @@ QUERIES = {
     "op10_simhash": lambda s, d: simhash.query(docs(s, d)),
     "pipeline": _pipeline,
 }
-SQL = {"op8_exact_dedup": exact_dedup.SQL}
+SQL = {"op7_mixing": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL}

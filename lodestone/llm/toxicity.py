@@ -1,6 +1,8 @@
 """Toxicity by multiple-instance learning: noisy-or over sentence scores, trained from document labels.
 
-Null and empty texts get the score of no sentence, 0. Repeated rows are scored one by one.
+Null and empty texts get the score of no sentence, 0. Without labelled documents of both kinds nothing is known: every score
+is 0 and no document is rejected. Repeated rows are scored one by one; an empty table gives no rows; texts are scored whole; a
+column named as the result is gets underscores in front of the result's name.
 """
 import math
 import re
@@ -10,8 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-SAMPLE, VOCAB, MIN_DOCS = 2500, 3000, 4  # rows of each label, words kept, documents a word needs
-PREFIXES = (4, 5)  # lengths of word beginnings, which inflected forms share
+from lodestone.llm.common import spare
+
+SAMPLE, LONGEST, VOCAB, MIN_DOCS = 2500, 50_000, 3000, 4  # training rows of each label, their most bytes, words kept, documents a word needs
+BEGINNINGS = ((), (4, 5), (3, 4, 5, 6))  # lengths of word beginnings, which inflected forms share; chosen on training rows
 _WORD, _END = re.compile(r"\w+"), re.compile(r"[.!?\n]+")
 
 
@@ -23,13 +27,13 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out + [(at, len(text))] if text and at < len(text) else out
 
 
-def parts(word: str) -> list[str]:
+def parts(word: str, lengths: tuple[int, ...]) -> list[str]:
     """A word's cues: itself and its beginnings."""
-    return [word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
+    return [word, *("^" + word[:k] for k in lengths if len(word) >= k)]
 
 
-def cues(sentence: str) -> set[str]:
-    return {c for w in {*_WORD.findall(sentence.lower())} for c in parts(w)}
+def cues(sentence: str, lengths: tuple[int, ...]) -> set[str]:
+    return {c for w in {*_WORD.findall(sentence.lower())} for c in parts(w, lengths)}
 
 
 def held_out(mod: int, rest: int):
@@ -42,14 +46,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     counts = dict(map(tuple, known.groupBy("toxic").count().collect()))
     share = F.coalesce(*[F.when(F.col("toxic") == k, F.lit(min(1.0, sample / n))) for k, n in counts.items()], F.lit(0.0))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").orderBy("doc_id").limit(3 * sample).collect()
-    return fit([r.text for r in rows], np.array([r.toxic for r in rows], float))
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    rows = short.join(F.broadcast(some), "doc_id").orderBy("doc_id").limit(3 * sample).collect()
+    return choose([r.text for r in rows], np.array([r.toxic for r in rows], float))
+
+
+def choose(texts: list[str | None], y: np.ndarray) -> dict:
+    """The model of the lengths of word beginnings that serve best on every fifth training row, fitted on all of them."""
+    if len(np.unique(y)) < 2:
+        return {"bias": None, "words": {}, "lengths": ()}
+    part = np.arange(len(y)) % 5 == 0
+    if len(np.unique(y[~part])) < 2:
+        return fit(texts, y, BEGINNINGS[0])
+    some, rest = [[t for t, x in zip(texts, part, strict=True) if x == want] for want in (True, False)]
+
+    def loss(lengths: tuple[int, ...]) -> float:
+        scorer = Scorer(fit(rest, y[~part], lengths))
+        p = np.clip([scorer.one(t)[0] for t in some], 1e-6, 1 - 1e-6)
+        return -float(np.mean(np.where(y[part] == 1, np.log(p), np.log1p(-p))))
+
+    return fit(texts, y, min(BEGINNINGS, key=loss))
 
 
-def fit(texts: list[str | None], y: np.ndarray) -> dict:
+def fit(texts: list[str | None], y: np.ndarray, lengths: tuple[int, ...]) -> dict:
     """Noisy-or over logistic sentence scores, by full-batch Adam on the documents' log-likelihood."""
     ids: dict[str, int] = {}
-    sents = [[np.array([ids.setdefault(x, len(ids)) for x in cues(text[a:b])], np.int32) for a, b in sentences(text)] for text in texts]
+    sents = [[np.array([ids.setdefault(x, len(ids)) for x in cues(text[a:b], lengths)], np.int32) for a, b in sentences(text)] for text in texts]
     names, seen = list(ids), np.zeros((2, len(ids)))
     for bag, t in zip(sents, y, strict=True):
         if bag:
@@ -77,17 +99,17 @@ def fit(texts: list[str | None], y: np.ndarray) -> dict:
         g = -np.append(np.bincount(wi, gz[si], len(vocab)), gz.sum()) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return {"bias": float(w[-1]), "words": {k: float(w[i]) for k, i in vocab.items() if abs(w[i]) > 0.01}}
+    return {"bias": float(w[-1]), "words": {k: float(w[i]) for k, i in vocab.items() if abs(w[i]) > 0.01}, "lengths": lengths}
 
 
 class Scorer:
     """Applies a model; remembers which of its cues a word holds."""
 
     def __init__(self, model: dict, memo: int = 300_000):
-        self.words, self.bias, self.memo, self.known = model["words"], model["bias"], memo, {}
+        self.words, self.bias, self.lengths, self.memo, self.known = model["words"], model["bias"], model["lengths"], memo, {}
 
     def held(self, word: str) -> tuple[str, ...]:
-        got = tuple(c for c in parts(word) if c in self.words)
+        got = tuple(c for c in parts(word, self.lengths) if c in self.words)
         if len(self.known) >= self.memo:
             self.known.clear()
         if len(word) < 40:
@@ -97,6 +119,8 @@ class Scorer:
     def one(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Document score, and (start, end, score) of offending sentences."""
         none, bad, known = 0.0, [], self.known
+        if self.bias is None:
+            return 0.0, bad
         for a, b in sentences(text):
             found = set()
             for w in _WORD.findall(text[a:b].lower()):
@@ -113,9 +137,9 @@ class Scorer:
         return 1 - math.exp(none), bad
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs plus toxicity struct<score, offending array<struct<start, end, score>>>, in one pass without a shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: dict, name: str = "toxicity") -> tuple[DataFrame, str]:
+    """docs plus struct<score, offending array<struct<start, end, score>>>, in one pass without a shuffle; and its column's name."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), spare(docs, name)
 
     @F.pandas_udf("score double, offending array<struct<start:int,end:int,score:double>>")
     def f(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -124,14 +148,16 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             got = [scorer.one(t) for t in s]
             yield pd.DataFrame({"score": [x for x, _ in got], "offending": [[{"start": a, "end": b, "score": c} for a, b, c in y] for _, y in got]})
 
-    return docs.withColumn("toxicity", f(F.col("text")))
+    return docs.withColumn(name, f(F.col("text"))), name
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    x = score(docs.select("doc_id", "text"), train(docs, labels))
-    s = F.col("toxicity.score")
-    return x.select("doc_id", held_out(5, 0).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), F.size("toxicity.offending").alias("n_offending"))
+    x, name = score(docs.select("doc_id", "text"), train(docs, labels))
+    s = F.col(name)["score"]
+    return x.select("doc_id", held_out(5, 0).alias("held_out"), s.alias("score"), (s >= 0.5).cast("int").alias("predicted"), F.size(F.col(name)["offending"]).alias("n_offending"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(docs, labels)).where("toxicity.score < 0.5").select(*docs.columns)
+    """The documents with a score below 0.5."""
+    x, name = score(docs, train(docs, labels))
+    return x.where(F.col(name)["score"] < 0.5).select(docs.columns)

@@ -338,6 +338,123 @@ def test_embeddings(spark):
         assert {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.query(v).collect()} == want
 
 
+def test_embedding_recall_in_a_deep_forest(spark):
+    """Planted pairs among vectors of one label, in leaves so small that the trees are at least six levels deep."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(6000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = base[:1500] + rng.normal(size=(1500, 64)) * rng.uniform(0.002, 0.025, (1500, 1))
+    x = np.vstack([base, near]).astype("<f4").astype(float)
+    vecs = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = unit @ unit.T
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(sim >= 0.98, 1)), strict=True)]
+    assert len(links) > 1000 and np.ceil(np.log2(len(x) / 64)) >= 6
+    found = {r.vec_id: r for r in embed_dedup.near_dups(vecs, leaf=64).collect()}
+    recall = sum(found[a].component_id == found[b].component_id for a, b in links) / len(links)
+    counted = sum(r.n_links for r in found.values()) / 2 / len(links)
+    print("recall", recall, counted)
+    assert recall >= 0.97 and 0.97 <= counted <= 1
+    comp = brute_components(range(len(x)), links)
+    assert all(comp[i] == comp[r.component_id] for i, r in found.items())
+
+
+def test_merge_index_levels_and_later_batches(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FANOUT", 3)
+    first = spark.createDataFrame([(i, f"t{i % 50}") for i in range(400)], "doc_id long, text string").repartition(11)
+    second = spark.createDataFrame([(1000 + i, f"T{i % 80}") for i in range(160)], "doc_id long, text string").repartition(4)
+    index = exact_dedup.Index(spark)
+    assert index.flush(first).count() == 400
+    # before any compaction, a batch is looked up in all runs
+    got = {r.doc_id: (r.keep_id, r.n) for r in index.probe(second, first).collect()}
+    assert got == {1000 + i: ((i % 80, 8) if i % 80 < 50 else (None, None)) for i in range(160)}
+    one = {r.digest: (r.keep_id, r.n) for r in index.compact().collect()}
+    assert sorted(one.values()) == [(i, 8) for i in range(50)] and len(index.levels) == 4 and not any(index.levels[:-1])
+    assert {r.doc_id: (r.keep_id, r.n) for r in index.probe(second, first).collect()} == got
+    index.flush(second)
+    assert sorted((r.keep_id, r.n) for r in index.compact().collect()) == sorted([(i, 10) for i in range(50)] + [(1000 + i, 2) for i in range(50, 80)])
+
+
+def test_license_blocks():
+    compiled = license_scan.compile_templates({})
+    body = next(p for p, lab, _ in license_scan.OWN if lab == "isc-text").split()
+    text = " ".join(["x"] * 300 + ["changed" if w == "hereby" else w for w in body] + ["y"] * 300)
+    got = license_scan.scan_one(text, compiled)
+    assert got["labels"] == "isc-text" and len(got["blocks"]) == 1
+    block = got["blocks"][0]
+    assert block["start"] <= 300 and block["end"] >= 300 + len(body) - 1 and 0.9 < block["containment"] < 1
+    assert license_scan.scan_one(" ".join(["software", "the", "license"] * 50), compiled)["blocks"] == []
+    # the positional filter leaves no window where too few template words stand around
+    assert license_scan.reaches([5, 90], [5], 10, 2, 100) == [] and license_scan.reaches([5, 9], [5], 10, 2, 100) == [(0, 5)]
+
+
+def test_quality_against_brute_force(docs, spark):
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    got = quality.score(docs, labels).collect()
+    host = lambda r: "\0" if r.source is None else r.source.split("/")[0]
+    e, hosts, paths = np.array([r.evidence for r in got]), [host(r) for r in got], [(host(r), r.path) for r in got]
+
+    def level(groups, parents):
+        """Strength of the prior by the variances inside and between groups; parents' means are the centre."""
+        sums, n, big = defaultdict(list), len(e), defaultdict(list)
+        for g, p, x in zip(groups, parents, e, strict=True):
+            sums[g].append(x)
+            big[p].append(x)
+        of = dict(zip(groups, parents, strict=True))
+        inside = sum(((np.array(x) - np.mean(x)) ** 2).sum() for x in sums.values()) / max(1, n - len(sums))
+        between = sum(len(x) * (np.mean(x) - np.mean(big[of[g]])) ** 2 for g, x in sums.items()) - (len(sums) - len(big)) * inside
+        free = n - sum(sum(len(x) ** 2 for g, x in sums.items() if of[g] == p) / len(big[p]) for p in big)
+        between = max(0.0, between) / max(1e-9, free)
+        return (1e12 if between == 0 else min(1e12, max(1e-6, inside / between))), {g: (sum(x), len(x)) for g, x in sums.items()}
+
+    if got:
+        prior = e.mean()
+        hk, hsum = level(hosts, [0] * len(e))
+        pk, psum = level(paths, hosts)
+        for r, h, p in zip(got, hosts, paths, strict=True):
+            hp = (hsum[h][0] - r.evidence + hk * prior) / (hsum[h][1] - 1 + hk)
+            pp = (psum[p][0] - r.evidence + pk * hp) / (psum[p][1] - 1 + pk)
+            if len(got) > 100:
+                assert (r.host_posterior, r.path_posterior) == (pytest.approx(hp, rel=1e-3), pytest.approx(pp, rel=1e-3))
+            o = lambda x: np.log(np.clip(x, 1e-9, 1 - 1e-9) / (1 - np.clip(x, 1e-9, 1 - 1e-9)))
+            assert r.score == pytest.approx(1 / (1 + np.exp(-(o(r.evidence) + o(r.path_posterior) - o(prior)))), rel=1e-6)
+
+
+def test_quality_of_held_out_documents(spark):
+    docs, labels = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.where(toxicity.held_out(5, 0)).collect()}
+    got = [(truth[r.doc_id], int(r.kept)) for r in quality.score(docs, labels.where(~toxicity.held_out(5, 0))).collect() if r.doc_id in truth]
+    print("quality, held out", len(got), sum(a == b for a, b in got) / len(got))
+    assert sum(a == b for a, b in got) / len(got) > 0.8
+
+
+def test_without_labels(docs, spark):
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    for none in (labels.limit(0), labels.where("toxic = 1"), labels.withColumn("doc_id", F.col("doc_id") + 10**9)):
+        assert {(r.score, r.predicted) for r in toxicity.query(docs, none).collect()} <= {(0.0, 0)}
+        assert toxicity.keep_clean(docs, none).count() == docs.count()
+
+
+def test_clashing_names_stay(spark):
+    names = ["toxicity", "language", "_row", "_copies", "_one", "_c", "row", "digest", "key", "size"]
+    docs = spark.createDataFrame(EDGE, SCHEMA).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    labels = spark.read.parquet(f"{D}/labels.parquet")
+    for out in (toxicity.keep_clean(docs, labels), exact_dedup.keep_one(docs), simhash.keep_one(docs), mixing.apply(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(f"own {n}" for n in names)}
+    x, name = langid.predict(docs, {"families": [], "inside": {}, "langs": {}})
+    assert name == "_language" and x.columns == [*docs.columns, "_language"]
+
+
+def test_mixing_takes_no_row_more_than_three_times(spark):
+    rows = [(i, "" if i % 3 else "w " * 5, "en", "big" if i % 2 else "small", 0) for i in range(60)] + [(None, "a b", "en", "c", 0), (None, "c d", "en", "c", 0)]
+    rows += [(1000 + i, "w " * 400, "en", "d", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and max(r.copies for r in got) == 3 and all(r.taken == r.copies * r.size for r in got)
+    assert sorted(map(tuple, mixing.mix(docs.repartition(7), buckets=2).collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
 def test_pipeline_stages(spark):
     at, cols = spark.read.parquet(f"{D}/documents.parquet"), None
     for name, stage in corpus_pipeline.STAGES[:3]:
