@@ -1,85 +1,3 @@
-"""Registered queries of the catalogue and search operators, with their DuckDB SQL."""
-from pyspark.sql import functions as F
-
-from lodestone.functions import images as I, text as T
-from lodestone.operators import catalog as C
-
-QUERIES: dict = {}
-SQL: dict = {}
-GAP = "[\\t\\n\\x0b\\x0c\\r\\x85\\x1c-\\x1f\\p{Z}]+"
-WORDS = f"flatten(list_transform(list_filter(regexp_split_to_array(text, '{GAP}'), lambda w: w <> ''), lambda w: list_transform(range(0, ((length(w) - 1) // 64) + 1), lambda i: substr(w, (i * 64 + 1)::int, 64))))"
-
-
-def register(name: str, sql: str):
-    def add(f):
-        QUERIES[name], SQL[name] = f, sql
-        return f
-    return add
-
-
-def read(s, d, t):
-    return s.read.parquet(f"{d}/{t}.parquet")
-
-
-def posts(s, d):
-    x = read(s, d, "documents").join(read(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
-    return x.select("doc_id", F.concat_ws(":", "source", "doc_id").alias("post_id"), F.col("source").alias("site_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("title"), F.col("text").alias("body"),
-                    F.when(F.col("quality") == 0, "SUMMARY").otherwise("FULL").alias("completeness"), F.array("lang").alias("tags"), ts.alias("published_at"), F.timestamp_seconds(F.unix_seconds(ts) + F.col("n_chars")).alias("updated_at"))
-
-
-def entries(s, d):
-    v = read(s, d, "embeddings").where("label is not null")
-    return v.select((F.col("vec_id") % 100).alias("post_no"), F.floor(F.col("vec_id") / 100).alias("idx"), F.concat(F.lit("src"), "label").alias("site_id"), F.when(F.col("vec_id") % 7 == 0, "IMAGE").otherwise("CHUNK").alias("kind"), "embedding")
-
-
-def snapshots(s, d):
-    p = posts(s, d)
-    old = p.where("doc_id % 5 <> 0")
-    new = p.where("doc_id % 7 <> 0").withColumn("body", F.when(F.col("doc_id") % 11 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body"))).withColumn("tags", F.when(F.col("doc_id") % 13 == 0, F.array(F.lit("new"))).otherwise(F.col("tags")))
-    return new, old
-
-
-register("str_words", f"SELECT doc_id, len({WORDS})::INT AS n_words FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", F.size(T.words(F.col("text"))).alias("n_words")))
-register("str_collapse", f"SELECT doc_id, md5(array_to_string({WORDS}, ' ')) AS norm_md5 FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", F.md5(T.normalised(F.col("text"))).alias("norm_md5")))
-register("str_snippet", "SELECT doc_id, CASE WHEN len(string_split(text, ' ')) > 60 THEN array_to_string(string_split(text, ' ')[1:60], ' ') || ' …' ELSE text END AS snippet FROM documents")(lambda s, d: read(s, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet")))
-register("str_fingerprint", "SELECT doc_id, sha256('r1' || chr(10) || array_to_string(string_split(text, ' ')[1:8], ' ') || chr(10) || text) AS fingerprint FROM documents")(lambda s, d: posts(s, d).select("doc_id", T.fingerprint("r1", F.col("title"), F.col("body")).alias("fingerprint")))
-register("win_chunks", f"WITH w AS (SELECT doc_id, {WORDS} AS ws FROM documents), i AS (SELECT doc_id, ws, unnest(range(0, 1 + greatest(0, ceil((len(ws) - 300) / 250.0))::INT)) AS k FROM w) SELECT doc_id, k::INT AS idx, md5(array_to_string(ws[k * 250 + 1 : k * 250 + 300], ' ')) AS chunk_md5 FROM i")(
-    lambda s, d: read(s, d, "documents").select("doc_id", F.posexplode(T.windows(T.words(F.col("text")))).alias("idx", "chunk")).select("doc_id", "idx", F.md5("chunk").alias("chunk_md5")))
-register("url_normalise", "WITH a AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), b AS (SELECT page_id, lower(regexp_extract(u, '^https?://([^/?:]+)', 1)) AS h, regexp_replace(u, '^https?://[^/?:]+(:80|:443)?', '') AS r FROM a) SELECT page_id, 'https://' || h || regexp_replace(regexp_extract(r, '^([^?]*)', 1), '/$', '') || regexp_extract(r, '(\\?.*)$', 1) AS url FROM b")(lambda s, d: read(s, d, "pages").select("page_id", T.normalised_url(F.col("url")).alias("url")))
-register("flt_nz_dates", "SELECT doc_id, (timezone('Pacific/Auckland', timezone('UTC', TIMESTAMP '2024-01-01' + to_hours(doc_id))))::DATE::VARCHAR AS day FROM documents")(lambda s, d: posts(s, d).select("doc_id", F.to_date(F.from_utc_timestamp("published_at", "Pacific/Auckland")).cast("string").alias("day")))
-SNAP = "p AS (SELECT d.doc_id, d.source || ':' || d.doc_id AS post_id, text AS body, [lang] AS tags, CASE WHEN quality = 0 THEN 'SUMMARY' ELSE 'FULL' END AS completeness FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), o AS (SELECT * FROM p WHERE doc_id % 5 <> 0), n AS (SELECT doc_id, post_id, CASE WHEN doc_id % 11 = 0 THEN body || '!' ELSE body END AS body, CASE WHEN doc_id % 13 = 0 THEN ['new'] ELSE tags END AS tags, completeness FROM p WHERE doc_id % 7 <> 0)"
-register("sync_classify", f"WITH {SNAP} SELECT n.post_id, CASE WHEN o.post_id IS NULL THEN 'PUBLISHED' WHEN n.body <> o.body OR n.tags <> o.tags THEN 'CHANGED' ELSE 'UNCHANGED' END AS revision FROM n LEFT JOIN o ON n.post_id = o.post_id")(lambda s, d: C.classify(*snapshots(s, d)))
-register("sync_report", f"WITH {SNAP} SELECT CASE WHEN o.post_id IS NULL THEN 'PUBLISHED' WHEN n.body <> o.body OR n.tags <> o.tags THEN 'CHANGED' ELSE 'UNCHANGED' END AS revision, count(*) AS n FROM n LEFT JOIN o ON n.post_id = o.post_id GROUP BY 1")(lambda s, d: C.classify(*snapshots(s, d)).groupBy("revision").agg(F.count("*").alias("n")))
-register("sync_withdraw_unlisted", f"WITH {SNAP} SELECT o.post_id FROM o WHERE o.post_id NOT IN (SELECT post_id FROM n)")(lambda s, d: C.unlisted(snapshots(s, d)[1].select("post_id"), snapshots(s, d)[0].select("post_id")))
-register("sync_withdraw_guarded", f"WITH {SNAP} SELECT post_id FROM o WHERE 1 = 0")(lambda s, d: C.unlisted(snapshots(s, d)[1].select("post_id"), snapshots(s, d)[0].select("post_id").where("1 = 0")))
-register("sync_checkpoint_by_page", "WITH m AS (SELECT event_id // 100 AS page, max(ts) AS m FROM events GROUP BY 1) SELECT page, max(m) OVER (ORDER BY page) AS mark FROM m")(lambda s, d: C.high_water(read(s, d, "events").select(F.floor(F.col("event_id") / 100).alias("page"), "ts")))
-
-
-def _indexed(p):
-    return p.withColumn("fingerprint", F.md5("body"))
-
-
-register("idx_decisions", f"WITH {SNAP} SELECT coalesce(n.post_id, o.post_id) AS post_id, CASE WHEN n.post_id IS NULL THEN 'REMOVED' WHEN n.completeness = 'SUMMARY' THEN CASE WHEN o.post_id IS NULL THEN 'EXCLUDED' ELSE 'REMOVED' END WHEN o.post_id IS NULL THEN 'ADDED' WHEN n.body <> o.body THEN 'RE_EMBEDDED' WHEN n.tags <> o.tags THEN 'METADATA_REFRESHED' ELSE 'UNCHANGED' END AS decision FROM n FULL JOIN o ON n.post_id = o.post_id")(lambda s, d: C.decide(*map(_indexed, snapshots(s, d))))
-register("idx_orphans", f"WITH {SNAP} SELECT o.post_id FROM o ANTI JOIN n ON o.post_id = n.post_id")(lambda s, d: snapshots(s, d)[1].join(snapshots(s, d)[0], "post_id", "left_anti").select("post_id"))
-register("vec_validity", "SELECT vec_id, len(embedding) = 64 AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0 AS valid FROM embeddings")(lambda s, d: read(s, d, "embeddings").select("vec_id", ((F.size("embedding") == 64) & (F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) > 0)).alias("valid")))
-
-
-def _search(sites=None, limit=10):
-    def f(s, d):
-        q = read(s, d, "embeddings").where("vec_id = 0").select("embedding").first()
-        return C.best_entries(entries(s, d), [float(x) for x in q[0]] if q else [0.0], sites, limit)
-    return f
-
-
-def _search_sql(where, limit):
-    return f"WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id % 100 AS post_no, vec_id // 100 AS idx, CASE WHEN vec_id % 7 = 0 THEN 'IMAGE' ELSE 'CHUNK' END AS kind, list_dot_product(embedding::DOUBLE[], v) AS s FROM embeddings, q WHERE {where}), r AS (SELECT *, row_number() OVER (PARTITION BY post_no ORDER BY s DESC, kind, idx) AS k FROM e) SELECT post_no, round(s, 6) AS score, kind, idx FROM r WHERE k = 1 ORDER BY score DESC, post_no LIMIT {limit}"
-
-
-register("search_ranked", _search_sql("label IS NOT NULL", 10))(_search())
-register("search_scoped_topk", _search_sql("label = 3", 5))(_search(["src3"], 5))
-GRID = "SELECT a * 37 AS w, b * 41 AS h FROM range(1, 120) x(a), range(1, 120) y(b)"
-register("img_size_rules", f"WITH g AS ({GRID}) SELECT w, h, CASE WHEN w * h > 16777216 THEN 'TOO_LARGE' WHEN least(w, h) < 64 THEN 'TOO_SMALL' ELSE 'OK' END AS verdict FROM g")(lambda s, d: s.range(119 * 119).select(((F.floor(F.col("id") / 119) + 1) * 37).alias("w"), ((F.col("id") % 119 + 1) * 41).alias("h")).select("w", "h", I.decoded_size(F.col("w"), F.col("h")).alias("verdict")))
-register("http_status_class", "SELECT c AS status, CASE WHEN c BETWEEN 200 AND 299 THEN 'SUCCESS' WHEN c BETWEEN 300 AND 399 AND c % 2 = 0 THEN 'REDIRECT' WHEN c IN (408, 429) OR c >= 500 THEN 'TRANSIENT' ELSE 'PERMANENT' END AS class FROM range(100, 600) t(c)")(lambda s, d: s.range(100, 600).select(F.col("id").alias("status"), I.status_class(F.col("id"), F.when(F.col("id") % 2 == 0, "x")).alias("class")))
-register("set_distinct_sites", "SELECT DISTINCT source AS site_id FROM documents")(lambda s, d: posts(s, d).select("site_id").distinct())
-register("export_sorted_posts", "SELECT source || ':' || doc_id AS post_id FROM documents ORDER BY 1")(lambda s, d: posts(s, d).select("post_id").orderBy("post_id"))
+"""All registered queries outside the training-data operators, with their DuckDB SQL where it exists."""
+from lodestone.plans import rule_queries, search_queries, sync_queries, text_queries  # noqa: F401
+from lodestone.plans.base import QUERIES, SQL  # noqa: F401
