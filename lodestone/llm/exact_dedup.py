@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.common import lower_az, materialise, numbered, work_dir
 
-HOT, FANOUT = 1000, 16
+HOT, FANOUT, SENT = 1000, 16, 200_000  # bound of broadcast hot digests; runs a merge; most digests with copies that are broadcast
 
 
 def _norm():
@@ -110,10 +110,14 @@ def classes(docs: DataFrame, keep: str = "min") -> DataFrame:
     entries = index.compact().select("digest", "keep_id", "n")
     total = rows.count()
     hits = entries.where("n > 1")
-    # byte check: the texts of hits, equal ones merged in each map task, so that a large group of copies stays spread
+    # byte check: the texts of hits, equal ones merged in each map task, so that a large group of copies stays spread. Up to
+    # SENT digests go to the texts; beyond that the merged texts go to the digests
+    few = hits.limit(SENT + 1).count() <= SENT
     texts = docs.select("doc_id", _norm().alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
     pick = F.min("doc_id") if keep == "min" else F.max("doc_id")
-    verified = texts.join(hits.select("digest"), "digest", "left_semi").groupBy("digest", "norm").agg(pick.alias("keep_id"), F.count("*").alias("n"))
+    asked = texts.join(F.broadcast(hits.select("digest")), "digest", "left_semi") if few else texts
+    verified = asked.groupBy("digest", "norm").agg(pick.alias("keep_id"), F.count("*").alias("n"))
+    verified = verified if few else verified.join(hits.select("digest"), "digest", "left_semi")
     clash = verified.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     out = ["doc_id", "digest", "keep_id", F.col("n").alias("group_size")]
     if clash.isEmpty():

@@ -47,7 +47,9 @@ def brute_components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_exact_dedup(docs):
+@pytest.mark.parametrize("sent", [exact_dedup.SENT, 0])
+def test_exact_dedup(docs, sent, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SENT", sent)
     groups = defaultdict(list)
     for d, t in texts(docs):
         groups[t.translate(AZ)].append(d)
