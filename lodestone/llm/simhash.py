@@ -18,6 +18,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE, SIMILAR, SHARED, STARS = 5, 0.8, 4, 3
 # Common shingles: one row in SAMPLE is counted, OFTEN times or more there, MOST at most
 SAMPLE, OFTEN, MOST = 16, 8, 100_000
+# Most row keys that are broadcast to choose texts; beyond that the texts are shuffled to the keys
+SENT = 1_000_000
 
 
 def fingerprint_of(text: str | None, shingle: int = 3) -> int:
@@ -118,76 +120,89 @@ def prefix_of(grams: np.ndarray, common: np.ndarray, least: float, shared: int)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """row, doc_id, n, digest, grams of each row of docs (row, doc_id, text)."""
+    """row, doc_id, n, digest of the shingle set of each row of docs (row, doc_id, text)."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for b in it:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                grams = [shingles_of(t.as_py()).astype("<u8").tobytes() for t in part.column(2)]
-                cols = [pa.array([len(g) // 8 for g in grams], pa.int32()), pa.array(map(xxh3_128_digest, grams), pa.binary()), pa.array(grams, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["row", "doc_id", "n", "digest", "grams"])
+            grams = [shingles_of(t.as_py()) for t in b.column(2)]
+            cols = [pa.array(map(len, grams), pa.int32()), pa.array([xxh3_128_digest(g.astype("<u8").tobytes()) for g in grams], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["row", "doc_id", "n", "digest"])
 
-    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n int, digest binary, grams binary")
+    return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n int, digest binary")
 
 
-def _exploded(sets: DataFrame, take) -> DataFrame:
-    """h, row, n: take(grams) of each row, one hash a row."""
+def _exploded(texts: DataFrame, take) -> DataFrame:
+    """h, row, n: take(shingles) of each row of texts (row, text), one hash a row."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                heads = [take(np.frombuffer(g.as_py(), "<u8")) for g in part.column(2)]
+                grams = [shingles_of(t.as_py()) for t in part.column(1)]
+                heads = [take(g) for g in grams]
                 many = np.array([len(x) for x in heads])
-                cols = [np.concatenate([*heads, np.zeros(0, np.uint64)]).astype("<u8").view("<i8"), np.repeat(part.column(0).to_numpy(), many), np.repeat(part.column(1).to_numpy(), many)]
+                cols = [np.concatenate([*heads, np.zeros(0, np.uint64)]).astype("<u8").view("<i8"), np.repeat(part.column(0).to_numpy(), many), np.repeat(np.array([len(g) for g in grams], np.int32), many)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "row", "n"])
 
-    return sets.select("row", "n", "grams").mapInArrow(run, "h long, row long, n int")
+    return texts.select("row", "text").mapInArrow(run, "h long, row long, n int")
 
 
-def _common(sets: DataFrame) -> np.ndarray:
+def _common(texts: DataFrame) -> np.ndarray:
     """Shingles often met in a sample, MOST at most; any choice gives the same links, a good one fewer candidates."""
-    part = sets.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)
+    part = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)
     often = _exploded(part, lambda g: g).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
     top = often.orderBy(F.desc("k"), "h").limit(MOST).select("h").toPandas()["h"]
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have a Jaccard similarity of `least`."""
+def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have a Jaccard similarity of `least`, as a table.
+
+    Only the texts of pairs move; their sets, which compress badly, are made where the two meet.
+    """
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def grams(row: int, text) -> np.ndarray:
+            if row not in held:
+                if len(held) >= 256:
+                    held.pop(next(iter(held)))
+                held[row] = shingles_of(text.as_py())
+            return held[row]
+
         for p in it:
-            keep, last, x = [], None, None
-            for a, g, o in zip(p.column(0).to_pylist(), p.column(2), p.column(3), strict=True):
-                if a != last:
-                    last, x = a, np.frombuffer(g.as_py(), "<u8")
-                y = np.frombuffer(o.as_py(), "<u8")
+            keep = []
+            for a, b, ta, tb in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), p.column(2), p.column(3), strict=True):
+                x, y = grams(a, ta), grams(b, tb)
                 at = np.searchsorted(x, y)
                 at[at == len(x)] = 0
                 both = np.count_nonzero(x[at] == y)
                 keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield p.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one, two = sets.select(F.col("row").alias("b"), F.col("grams").alias("gb")), sets.select(F.col("row").alias("a"), F.col("grams").alias("ga"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "ga", "gb").mapInArrow(run, "a long, b long")
+    pairs = materialise(pairs, "pairs")
+    rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    few = rows.limit(SENT + 1).count() <= SENT
+    texts = texts.select("row", "text").join(F.broadcast(rows) if few else rows, "row", "left_semi")
+    one, two = texts.select(F.col("row").alias("b"), F.col("text").alias("tb")), texts.select(F.col("row").alias("a"), F.col("text").alias("ta"))
+    return materialise(pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "similar")
 
 
-def _near_links(sets: DataFrame, least: float, shared: int) -> DataFrame:
-    """(a, b) links that connect all pairs of rows with a similarity of `least`, and only such.
+def _near_links(texts: DataFrame, least: float, shared: int) -> DataFrame:
+    """(a, b) links that connect all pairs of rows of texts (row, text) with a similarity of `least`, and only such.
 
     Prefix filter: every such pair meets at `shared` shingles of both prefixes. First each row is held against the first rows
     of its buckets, a few at most; then all pairs that these links leave apart and whose lengths and meetings allow the similarity.
     """
-    common = _common(sets)
-    keyed = _exploded(sets, lambda g: prefix_of(g, common, least, shared))
+    common = _common(texts)
+    keyed = _exploded(texts, lambda g: prefix_of(g, common, least, shared))
     w = W.partitionBy("h")
     met = keyed.withColumn("c", F.count("*").over(w)).withColumn("f", F.min(F.struct("row", "n")).over(w)).where("c > 1")
     met = materialise(met.select("h", "row", "n", F.col("f.row").alias("b"), F.col("f.n").alias("m")), "buckets")
     fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least) - F.lit(1e-9)
     stars = met.where((F.col("row") != F.col("b")) & fits("n", "m")).groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("k"))
     stars = stars.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("k"), "b"))).where(F.col("_r") <= STARS).select("a", "b")
-    first = materialise(_similar(stars, sets, least), "stars")
+    first = _similar(stars, texts, least)
     up = first.groupBy("a").agg(F.min("b").alias("b"))
     over = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
     label = up.join(over, "b", "left").select(F.col("a").alias("row"), F.coalesce("c", "b").alias("label"))
@@ -197,25 +212,29 @@ def _near_links(sets: DataFrame, least: float, shared: int) -> DataFrame:
     pairs = x.join(y, "h").where((F.col("row") > F.col("b")) & (F.col("label") != F.col("l")) & fits("n", "m"))
     pairs = pairs.groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("k"), F.min(F.least("n", "m")).alias("n"))
     pairs = pairs.where(F.col("k") >= F.least(F.lit(shared), F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)))).select("a", "b")
-    return first.unionByName(_similar(pairs, sets, least))
+    return first.unionByName(_similar(pairs, texts, least))
 
 
 def near_rows(docs: DataFrame, least: float = SIMILAR, shared: int = SHARED) -> DataFrame:
-    """row, doc_id, root: rows of docs (row, doc_id, text) linked by a Jaccard similarity of `least` on five-word shingles.
+    """row, doc_id, root: rows of docs (row, doc_id, text), a table, linked by a Jaccard similarity of `least` on five-word shingles.
 
     Exact at any length, but for equal 64-bit hashes of different shingles. Nulls and texts without words are one class.
     """
     ids = materialise(_sets(docs), "shingles")
     groups = ids.groupBy("digest").agg(F.min("row").alias("b"), F.count("*").alias("k")).where("k > 1")
     same = materialise(ids.select("row", "digest").join(groups, "digest").where("row <> b").select(F.col("row").alias("a"), "b"), "same")
-    sets = ids.where("n > 0").join(same.select(F.col("a").alias("row")), "row", "left_anti").select("row", "n", "grams")
-    comp = components(same.unionByName(_near_links(sets, least, shared)))
+    alone = ids.where("n > 0").select("row").join(same.select(F.col("a").alias("row")), "row", "left_anti")
+    few = same.limit(SENT + 1).count() <= SENT
+    left_out = same.select(F.col("a").alias("row")).unionByName(ids.where("n = 0").select("row"))
+    texts = docs.join(F.broadcast(left_out), "row", "left_anti") if few else docs.join(alone, "row", "left_semi")
+    comp = components(same.unionByName(_near_links(texts, least, shared)))
     return ids.select("row", "doc_id").join(comp, F.col("row") == F.col("node"), "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
 
 
 def near_classes(docs: DataFrame, least: float = SIMILAR, shared: int = SHARED) -> DataFrame:
     """doc_id, component_id of every row: the smallest doc_id of its class of near copies."""
-    rows = materialise(near_rows(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), least, shared), "near")
+    rows, key = numbered(docs.select("doc_id", "text"))
+    rows = materialise(near_rows(rows.withColumnRenamed(key, "row"), least, shared), "near")
     low = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(low, "root").select("doc_id", "component_id")
 
