@@ -1,8 +1,8 @@
 """Word, passage, snippet, tag and key expressions."""
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # White space of words and queries, white space that strip() of tags and titles removes, window sizes.
 WORD_GAP = "[\\p{IsWhite_Space}\\x{1C}-\\x{1F}]+"
@@ -76,16 +76,17 @@ def windows_by_cost(costs: list[int], target: int = CHUNK_WORDS, body: int = BOD
     return out
 
 
-def token_windows(ws: Column, cost: Callable[[str], int]) -> Column:
-    """array<struct<start, end, tokens>> of windows under a token budget, `cost` giving each word's tokens."""
-    @F.pandas_udf("array<struct<start:int,end:int,tokens:int>>")
-    def f(s: pd.Series) -> pd.Series:
-        def one(row):
-            c = [cost(w) for w in row]
-            return [{"start": a, "end": b, "tokens": sum(c[a:b])} for a, b in windows_by_cost(c)]
-        return s.map(one)
+def token_windows(rows: DataFrame, cost: Callable[[str], int]) -> DataFrame:
+    """doc_id, start, end, tokens of the windows of (doc_id, ws) under a token budget, `cost` giving each word's tokens."""
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in it:
+            out = []
+            for d, ws in zip(p["doc_id"], p["ws"], strict=True):
+                c = [cost(w) for w in ws] if ws is not None else []
+                out += [(d, a, b, sum(c[a:b])) for a, b in windows_by_cost(c)]
+            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "tokens"])
 
-    return f(ws)
+    return rows.select("doc_id", "ws").mapInPandas(run, "doc_id long, start int, end int, tokens int")
 
 
 def title_line(c: Column, budget: int = TITLE_TOKENS) -> Column:

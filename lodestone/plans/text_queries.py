@@ -80,8 +80,7 @@ query("win_chunk_counts", f"WITH w AS (SELECT doc_id, len({words('text')}) AS n
 
 @query("win_chunks_token_budget")
 def win_chunks_token_budget(s, d):
-    ws = read(s, d, "documents").select("doc_id", X.token_windows(X.words(F.col("text")), lambda w: -(-len(w) // 4)).alias("ws"))
-    return ws.select("doc_id", F.explode("ws").alias("w")).select("doc_id", "w.start", "w.end", "w.tokens")
+    return X.token_windows(read(s, d, "documents").select("doc_id", X.words(F.col("text")).alias("ws")), lambda w: -(-len(w) // 4))
 
 
 @query("agg_token_totals", f"WITH w AS (SELECT doc_id, {words('text')} AS ws FROM documents) SELECT doc_id, coalesce(list_sum(list_transform(ws, lambda w: (length(w) + 3) // 4)), 0)::BIGINT AS tokens FROM w")
@@ -136,5 +135,5 @@ query(
     """SELECT * FROM (VALUES (0, 'https://h/p/a.png', 'two words', ''), (1, 'https://h/b.png', '', 'A caption'), (2, 'https://h/w900.png', '', '')) t(pos, url, alt_text, caption)""",
 )(
     lambda s, d: values(s, """('<img src="a.png" alt=" two  words "><img class="x emoji" src="e.png"><img src="t.png" width="10"><figure><img src="/b.png"><figcaption>A <b>caption</b></figcaption></figure><img src="http://h/n.png"><img src="HTTPS://H/b.png"><img srcset="w300.png 300w, /w900.png 900w, w4000.png 4000w">')""", "html")
-    .select(F.posexplode(html.extract_images(F.col("html"), F.lit("https://h/p/post"))).alias("pos", "i")).select("pos", "i.*")
+    .select(F.posexplode_outer(html.extract_images(F.col("html"), F.lit("https://h/p/post"))).alias("pos", "i")).select("pos", "i.*")
 )
