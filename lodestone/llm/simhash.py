@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from lodestone.llm.common import chunked, components, materialise, numbered
 
 RADIUS, CHUNK = 3, 4096
-# Near copies: odd multiplier, words a shingle, least similarity, shingles to meet at, first rows tried
+# Near copies: odd multiplier, words a shingle, least similarity, shingles to meet at, centres tried
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SHINGLE, SIMILAR, SHARED, STARS = 5, 0.8, 4, 3
 # Common shingles: one row in SAMPLE is counted, OFTEN times or more there, MOST at most
@@ -109,14 +109,23 @@ def needed(n: int, least: float) -> int:
     return ceil(least * n - 1e-9)
 
 
-def prefix_of(grams: np.ndarray, common: np.ndarray, least: float, shared: int) -> np.ndarray:
-    """The first n - needed + shared shingles in one order for all texts: rare ones by hash, then the `common`.
+def heads_of(grams: np.ndarray, common: np.ndarray, least: float, shared: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Shingles to meet at, their kinds, the number of rare shingles, and a hash of the set of common ones.
 
-    Two texts as similar as `least` hold their first min(shared, needed) common shingles in both prefixes, whatever `common` is.
+    The order for all texts: rare shingles by hash, then the `common`. Two texts as similar as `least` hold their first
+    min(shared, needed) common shingles among the first n - needed + shared of both. Kind 0 are the rare ones of these, kind 1
+    the common ones, and kind 2 is the set's hash; the last two only where the common ones alone can reach `least`.
     """
-    n, often = len(grams), np.isin(grams, common)
-    need = needed(n, least)
-    return np.concatenate([grams[~often], grams[often]])[: n - need + min(shared, need)]
+    n, often = len(grams), np.isin(grams, common, assume_unique=True)
+    rare, rest, need = grams[~often], grams[often], needed(n, least)
+    size = n - need + min(shared, need)
+    if len(rest) < need:
+        return rare[:size], np.zeros(min(size, len(rare)), np.int8), len(rare), 0
+    from xxhash import xxh3_64_intdigest
+
+    whole = np.array([xxh3_64_intdigest(rest.astype("<u8").tobytes())], np.uint64)
+    ends = rest[: size - len(rare)]
+    return np.concatenate([rare, ends, whole]), np.repeat(np.arange(3, dtype=np.int8), [len(rare), len(ends), 1]), len(rare), int(whole.view(np.int64)[0])
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -133,24 +142,27 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _exploded(texts: DataFrame, take) -> DataFrame:
-    """h, row, n: take(shingles) of each row of texts (row, text), one hash a row."""
+    """take(shingles) = (h, kind, r, g) of each row of texts (row, text), one hash a row, with the row and its number of shingles n."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 grams = [shingles_of(t.as_py()) for t in part.column(1)]
                 heads = [take(g) for g in grams]
-                many = np.array([len(x) for x in heads])
-                cols = [np.concatenate([*heads, np.zeros(0, np.uint64)]).astype("<u8").view("<i8"), np.repeat(part.column(0).to_numpy(), many), np.repeat(np.array([len(g) for g in grams], np.int32), many)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["h", "row", "n"])
+                many = np.array([len(x[0]) for x in heads])
+                h = np.concatenate([*(x[0] for x in heads), np.zeros(0, np.uint64)]).astype("<u8").view("<i8")
+                kind = np.concatenate([*(x[1] for x in heads), np.zeros(0, np.int8)])
+                n, r = (np.repeat(np.array(x, np.int32), many) for x in (list(map(len, grams)), [x[2] for x in heads]))
+                g = np.where(kind == 1, np.repeat(np.array([x[3] for x in heads], np.int64), many), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, kind, np.repeat(part.column(0).to_numpy(), many), n, r, g)], ["h", "kind", "row", "n", "r", "g"])
 
-    return texts.select("row", "text").mapInArrow(run, "h long, row long, n int")
+    return texts.select("row", "text").mapInArrow(run, "h long, kind byte, row long, n int, r int, g long")
 
 
 def _common(texts: DataFrame) -> np.ndarray:
     """Shingles often met in a sample, MOST at most; any choice gives the same links, a good one fewer candidates."""
     part = texts.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0)
-    often = _exploded(part, lambda g: g).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
+    often = _exploded(part, lambda g: (g, np.zeros(len(g), np.int8), 0, 0)).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= OFTEN)
     top = often.orderBy(F.desc("k"), "h").limit(MOST).select("h").toPandas()["h"]
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
@@ -191,28 +203,40 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def _near_links(texts: DataFrame, least: float, shared: int) -> DataFrame:
     """(a, b) links that connect all pairs of rows of texts (row, text) with a similarity of `least`, and only such.
 
-    Prefix filter: every such pair meets at `shared` shingles of both prefixes. First each row is held against the first rows
-    of its buckets, a few at most; then all pairs that these links leave apart and whose lengths and meetings allow the similarity.
+    Prefix filter: every such pair meets at min(shared, needed) shingles of both prefixes. First each row is held against the
+    centres of its buckets, a few at most: the rows with the least share of rare shingles, as an original has among its copies.
+    Then all pairs that these links leave apart and whose lengths and meetings allow the similarity.
+
+    A rare shingle is in few texts, so its buckets are small. Pairs that meet at common shingles alone share no rare one, thus
+    at most the smaller number of common ones: most pairs of large buckets end there, unread. Of rows with the same common
+    shingles the centre has the fewest rare ones: a row that it does not reach is reached by no other of them in this way.
     """
     common = _common(texts)
-    keyed = _exploded(texts, lambda g: prefix_of(g, common, least, shared))
+    keyed = _exploded(texts, lambda g: heads_of(g, common, least, shared))
+    eps, need = F.lit(1e-9), lambda n: F.ceil(n * F.lit(least) - F.lit(1e-9))
+    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least) - eps
+    w = W.partitionBy("kind", "h")
+    met = keyed.withColumn("c", F.count("*").over(w)).withColumn("f", F.min(F.struct((F.col("r") / F.col("n")).alias("share"), "row", "n")).over(w)).where("c > 1")
+    met = materialise(met.select("h", "kind", "row", "n", "r", "g", F.col("f.row").alias("b"), F.col("f.n").alias("m")), "buckets")
+    centres = met.where((F.col("row") != F.col("b")) & fits("n", "m")).groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("k"), F.max("kind").alias("kind"))
+    first = centres.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("k"), "b"))).where((F.col("_r") <= STARS) | (F.col("kind") == 2))
+    first = _similar(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts, least)
+    known = materialise(components(first), "known")
     w = W.partitionBy("h")
-    met = keyed.withColumn("c", F.count("*").over(w)).withColumn("f", F.min(F.struct("row", "n")).over(w)).where("c > 1")
-    met = materialise(met.select("h", "row", "n", F.col("f.row").alias("b"), F.col("f.n").alias("m")), "buckets")
-    fits = lambda x, y: F.least(x, y) >= F.greatest(x, y) * F.lit(least) - F.lit(1e-9)
-    stars = met.where((F.col("row") != F.col("b")) & fits("n", "m")).groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("k"))
-    stars = stars.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("k"), "b"))).where(F.col("_r") <= STARS).select("a", "b")
-    first = _similar(stars, texts, least)
-    up = first.groupBy("a").agg(F.min("b").alias("b"))
-    over = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    label = up.join(over, "b", "left").select(F.col("a").alias("row"), F.coalesce("c", "b").alias("label"))
-    x = met.select("h", "row", "n").join(label, "row", "left").withColumn("label", F.coalesce("label", "row"))
-    x = x.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").select("h", "row", "n", "label")
-    y = x.select("h", F.col("row").alias("b"), F.col("n").alias("m"), F.col("label").alias("l"))
-    pairs = x.join(y, "h").where((F.col("row") > F.col("b")) & (F.col("label") != F.col("l")) & fits("n", "m"))
-    pairs = pairs.groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("k"), F.min(F.least("n", "m")).alias("n"))
-    pairs = pairs.where(F.col("k") >= F.least(F.lit(shared), F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)))).select("a", "b")
-    return first.unionByName(_similar(pairs, texts, least))
+    x = met.where("kind < 2").select("h", "kind", "row", "n", "r", "g").join(known.select(F.col("node").alias("row"), F.col("root").alias("label")), "row", "left").withColumn("label", F.coalesce("label", "row"))
+    x = x.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").drop("lo", "hi")
+    y = x.select("h", F.col("row").alias("b"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("g").alias("o"), F.col("label").alias("l"))
+    overlap = (F.col("n") + F.col("m")) * F.lit(least / (1 + least)) - eps
+    both = F.least(F.col("n") - F.col("r"), F.col("m") - F.col("s"))
+    pairs = x.join(y, "h").where((F.col("row") > F.col("b")) & (F.col("label") != F.col("l")) & fits("n", "m") & ((F.col("kind") == 0) | ((F.col("g") != F.col("o")) & (both >= overlap))))
+    numbers = [F.first(c).alias(c) for c in ("n", "m", "r", "s")]
+    pairs = pairs.groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("k"), F.count_if(F.col("kind") == 0).alias("k0"), *numbers)
+    meet = F.least(F.lit(shared), need(F.least("n", "m")))
+    ends = lambda n, r: F.col(r) < F.col(n) - need(F.col(n)) + F.least(F.lit(shared), need(F.col(n)))
+    # all rare shingles of both are prefixes: common ones can add to k0 no more than the smaller number
+    few = ends("n", "r") & ends("m", "s")
+    pairs = pairs.where(F.when(few, (F.col("k0") + both >= overlap) & ((F.col("k0") > 0) | (F.col("k") >= meet))).otherwise(F.col("k0") >= meet)).select("a", "b")
+    return known.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_similar(pairs, texts, least))
 
 
 def near_rows(docs: DataFrame, least: float = SIMILAR, shared: int = SHARED) -> DataFrame:

@@ -99,6 +99,28 @@ def test_near_classes_at_the_limit_exactly(docs):
     assert {r.doc_id: r.component_id for r in simhash.near_classes(docs).collect()} == brute_components(sets, links)
 
 
+@pytest.mark.parametrize(("sample", "often"), [(16, 8), (1, 2), (1, 10**9)])
+def test_near_classes_of_common_passages(spark, monkeypatch, sample, often):
+    """Copies of one original at all distances, passages with ends of their own, and mixed passages, by brute force."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    monkeypatch.setattr(simhash, "OFTEN", often)
+    rng, rows = np.random.default_rng(5), []
+    original, one, two = ([f"{c}{i}" for i in range(90)] for c in "opq")
+    for k in range(250):
+        copy = list(original)
+        for i in rng.permutation(90)[: rng.integers(0, 7)]:
+            copy[i] = f"n{rng.integers(0, 400)}"
+        ends = [f"e{rng.integers(0, 3000)}" for _ in range(rng.integers(0, 30))]
+        cut = int(rng.integers(0, 40))
+        rows += [" ".join(copy), " ".join(one + ends), " ".join(one[: 90 - cut] + two[:cut] + ends[: k % 4])]
+    rows = [(int(i), t, "en", "a", 0) for i, t in zip(rng.permutation(len(rows)), rows, strict=True)]
+    sets = {d: shingle_set(t) for d, t, *_ in rows}
+    links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = brute_components(sets, links)
+    assert len(set(want.values())) > 20
+    assert {r.doc_id: r.component_id for r in simhash.near_classes(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 def test_near_limit_of_long_texts(spark):
     """Pairs of texts of 4000 shingles at 0.8 or just below it: one shingle decides."""
     rows, want = [], {}
