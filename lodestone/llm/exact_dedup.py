@@ -34,7 +34,8 @@ class Index:
         self.top = f"{work_dir(spark)}/lsm-{uuid.uuid4().hex}"
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.top}/{name}")
+        # no Parquet Bloom filters: they take 1 MB a file, however few its rows, and joins don't read them; `_filter` does that work
+        df.write.parquet(f"{self.top}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.top}/{name}")
 
     def flush(self, docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,15 @@ def test_exact_dedup(docs, sent, monkeypatch):
     assert Counter(map(tuple, exact_dedup.query(docs).collect())) == want
 
 
+def test_index_of_few_rows_is_small(spark):
+    """The folder follows the rows, not the number of partitions."""
+    docs = spark.createDataFrame([(i, f"text {i % 300}") for i in range(400)], "doc_id long, text string").repartition(40)
+    index = exact_dedup.Index(spark)
+    assert index.flush(docs).count() == 400 and index.compact().count() == 300
+    files = [f for f in Path(index.top.removeprefix("file://")).rglob("*") if f.is_file()]
+    assert sum(f.stat().st_size for f in files) < 500_000
+
+
 def fingerprint(t):
     ws = re.findall(r"[^\x20\x09-\x0D]+", t.translate(AZ))
     sh = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] or ([" ".join(ws)] if ws else [])
