@@ -1,6 +1,7 @@
 """SimHash near-dedup with covering locality-sensitive hashing.
 
-Nulls and empty texts have fingerprint zero and link like any other; repeated rows and ties fall in one class.
+Nulls and empty texts have fingerprint zero and link like any other; repeated rows and ties fall in one class. The pipeline's
+near copies are the SimHash classes, held to a Jaccard similarity on whole texts, and the copies that fingerprints leave apart.
 """
 from collections.abc import Iterator
 from math import ceil
@@ -200,17 +201,26 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return materialise(pairs.join(one, "b").join(two, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "similar")
 
 
+def _simhash_links(texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): rows of texts (row, text) with the smallest row of their SimHash class, where the whole sets are as similar as `least`."""
+    found = simhash_classes(texts.select(F.col("row").alias("doc_id"), "text")).where("doc_id <> component_id")
+    return _similar(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")), texts, least)
+
+
 def _near_links(texts: DataFrame, least: float, shared: int) -> DataFrame:
     """(a, b) links that connect all pairs of rows of texts (row, text) with a similarity of `least`, and only such.
 
-    Prefix filter: every such pair meets at min(shared, needed) shingles of both prefixes. First each row is held against the
-    centres of its buckets, a few at most: the rows with the least share of rare shingles, as an original has among its copies.
-    Then all pairs that these links leave apart and whose lengths and meetings allow the similarity.
+    First each row is held against the smallest row of its SimHash class. Fingerprints of pairs near `least` differ by more bits
+    than the radius; a prefix filter finds those that the classes leave apart: every pair meets at min(shared, needed) shingles of
+    both prefixes. Each row is held against the centres of its buckets, a few at most: the rows with the least share of rare
+    shingles, as an original has among its copies. Then all pairs that these links leave apart and whose lengths and meetings
+    allow the similarity.
 
     A rare shingle is in few texts, so its buckets are small. Pairs that meet at common shingles alone share no rare one, thus
     at most the smaller number of common ones: most pairs of large buckets end there, unread. Of rows with the same common
     shingles the centre has the fewest rare ones: a row that it does not reach is reached by no other of them in this way.
     """
+    linked = _simhash_links(texts, least)
     common = _common(texts)
     keyed = _exploded(texts, lambda g: heads_of(g, common, least, shared))
     eps, need = F.lit(1e-9), lambda n: F.ceil(n * F.lit(least) - F.lit(1e-9))
@@ -220,8 +230,11 @@ def _near_links(texts: DataFrame, least: float, shared: int) -> DataFrame:
     met = materialise(met.select("h", "kind", "row", "n", "r", "g", F.col("f.row").alias("b"), F.col("f.n").alias("m")), "buckets")
     centres = met.where((F.col("row") != F.col("b")) & fits("n", "m")).groupBy(F.col("row").alias("a"), "b").agg(F.count("*").alias("k"), F.max("kind").alias("kind"))
     first = centres.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("k"), "b"))).where((F.col("_r") <= STARS) | (F.col("kind") == 2))
-    first = _similar(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), texts, least)
-    known = materialise(components(first), "known")
+    first = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for end in ("a", "b"):  # linked is a star of each class: its `b` is the label of `a`, once
+        first = first.join(linked.select(F.col("a").alias(end), F.col("b").alias(f"label_{end}")), end, "left")
+    first = first.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    known = materialise(components(linked.unionByName(_similar(first, texts, least))), "known")
     w = W.partitionBy("h")
     x = met.where("kind < 2").select("h", "kind", "row", "n", "r", "g").join(known.select(F.col("node").alias("row"), F.col("root").alias("label")), "row", "left").withColumn("label", F.coalesce("label", "row"))
     x = x.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).where("lo <> hi").drop("lo", "hi")
@@ -242,7 +255,7 @@ def _near_links(texts: DataFrame, least: float, shared: int) -> DataFrame:
 def near_rows(docs: DataFrame, least: float = SIMILAR, shared: int = SHARED) -> DataFrame:
     """row, doc_id, root: rows of docs (row, doc_id, text), a table, linked by a Jaccard similarity of `least` on five-word shingles.
 
-    Exact at any length, but for equal 64-bit hashes of different shingles. Nulls and texts without words are one class.
+    Rows with equal sets are one; of the others SimHash makes the first links, and a prefix filter the rest. Exact at any length, but for equal 64-bit hashes of different shingles. Nulls and texts without words are one class.
     """
     ids = materialise(_sets(docs), "shingles")
     groups = ids.groupBy("digest").agg(F.min("row").alias("b"), F.count("*").alias("k")).where("k > 1")

@@ -172,6 +172,36 @@ def test_near_copies_of_any_length(spark):
         assert (got[2 * i + 1] == got[2 * i] == 2 * i) if j >= 0.8 else (got[2 * i + 1] == 2 * i + 1)
 
 
+def test_near_rows_begin_with_simhash(spark, monkeypatch):
+    """SimHash classes give the first candidates, an exact check follows, and no later pair is one that they have linked."""
+    rng, texts, seen, similar = np.random.default_rng(11), [], [], simhash._similar
+    for k in range(20):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+        texts += [words, [*words, "end"], [f"x{k}y{i}" if i % 67 == 33 else w for i, w in enumerate(words)]]
+    # a repeated line rules the fingerprint: equal ones of unlike sets
+    texts += [["a", "b", "c"] * 3000 + [f"{c}{i}" for i in range(30)] for c in "pq"]
+    texts = [" ".join(t) for t in texts]
+
+    def spy(pairs, *rest):
+        out = similar(pairs, *rest)
+        seen.append([{(r.a, r.b) for r in x.collect()} for x in (pairs, out)])
+        return out
+
+    monkeypatch.setattr(simhash, "_similar", spy)
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, doc_id long, text string")
+    got = {r.row: r.root for r in simhash.near_rows(docs).collect()}
+    fps, sets = list(map(fingerprint, texts)), list(map(shingle_set, texts))
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    prints = brute_components(range(len(texts)), [(a, b) for a, b in pairs if (fps[a] ^ fps[b]).bit_count() <= 3])
+    stars = {(a, b) for a, b in prints.items() if a != b}
+    assert len(stars) > 15 and (61, 60) in stars and not near(60, 61)
+    assert seen[0] == [stars, {(a, b) for a, b in stars if near(a, b)}]
+    assert len(seen) == 3 and not seen[0][1] & (seen[1][0] | seen[2][0])
+    assert got == brute_components(range(len(texts)), [(a, b) for a, b in pairs if near(a, b)])
+    assert set(got.values()) == {*range(0, 60, 3), 60, 61}
+
+
 def test_mixing(docs):
     rows = mixing.query(docs).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
