@@ -1,9 +1,11 @@
 """Shared folder tables and distributed connected components."""
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -52,6 +54,13 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
+def trim() -> None:
+    """Give back the memory that this Python process holds but does not use; its worker lives on after a task."""
+    pa.default_memory_pool().release_unused()
+    if back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        back(0)
+
+
 def lower_az(c):
     """Lower-case A-Z only; pure ASCII takes the fast path."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, AZ, AZ.lower()))

@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.tokens import encoder
+from lodestone.llm.common import trim
+from lodestone.llm.tokens import Encoder, encoder
 
 TIERS, WINDOW, GROUP, BLOCK, END = (2048, 1024, 512, 256), 2_000_000, 8, 8, 1
+ROWS = 1000  # a batch of results, 8 MB of ids at most
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier long, step_group long, ids binary"
 
 
@@ -104,30 +106,35 @@ class Packer:
                 self.deal(tier)
 
 
+def _batches(p: Packer, least: int) -> Iterator[pa.RecordBatch]:
+    """The packer's rows, ROWS a batch, until fewer than `least` are left."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    kinds = [pa.int64()] * 8 + [pa.binary()]
+    while len(p.rows) >= least:
+        rows, p.rows = p.rows[:ROWS], p.rows[ROWS:]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def packed(it: Iterator[pa.RecordBatch], enc: Encoder, p: Packer, end: int) -> Iterator[pa.RecordBatch]:
+    """The rows of pack() of batches (doc_id, text), by one packer."""
+    trim()
+    for b in it:
+        ids_of = b.column(0).to_pylist()
+        for at, ids, places in enc.slices(b.column(1), end):
+            for doc, x, y in zip(ids_of[at:], places[:-1].tolist(), places[1:].tolist(), strict=False):
+                p.add(doc, ids[x:y].tobytes())
+                if p.held > WINDOW:
+                    p.flush(False)
+                if len(p.rows) >= ROWS:
+                    yield from _batches(p, ROWS)
+    p.flush(True)
+    yield from _batches(p, 1)
+
+
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = END) -> DataFrame:
     """A row per piece, with its little-endian ids; step groups hold up to GROUP x 2048 tokens of one tier."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, p = encoder(tokenizer), Packer(TaskContext.get().partitionId() << 40)
-
-        def out():
-            rows, p.rows = p.rows, []
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            kinds = [pa.int64()] * 8 + [pa.binary()]
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-        for b in it:
-            ids_of = b.column(0).to_pylist()
-            for at, ids, places in enc.slices(b.column(1), end):
-                raw = ids.tobytes()
-                for doc, x, y in zip(ids_of[at:], places[:-1].tolist(), places[1:].tolist(), strict=False):
-                    p.add(doc, raw[4 * x : 4 * y])
-                    if p.held > WINDOW:
-                        p.flush(False)
-                    if len(p.rows) > 5000:
-                        yield out()
-        p.flush(True)
-        yield out()
+        return packed(it, encoder(tokenizer), Packer(TaskContext.get().partitionId() << 40), end)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

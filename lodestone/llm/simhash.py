@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lodestone.llm.common import chunked, components, materialise, numbered
+from lodestone.llm.common import chunked, components, materialise, numbered, trim
 
 RADIUS, CHUNK = 3, 4096
 # Near copies: odd multiplier, words a shingle, least similarity, shingles to meet at, centres tried
@@ -72,6 +72,7 @@ def simhash_classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     def fp(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in it:
             yield s.map(fingerprint_of).astype("int64") if len(s) else pd.Series([], dtype="int64")
+            trim()
 
     ids = materialise(docs.select("doc_id", fp(F.coalesce("text", F.lit(""))).alias("fp")), "simhash")
     reps = ids.groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -135,9 +136,13 @@ def _sets(docs: DataFrame) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         for b in it:
-            grams = [shingles_of(t.as_py()) for t in b.column(2)]
-            cols = [pa.array(map(len, grams), pa.int32()), pa.array([xxh3_128_digest(g.astype("<u8").tobytes()) for g in grams], pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["row", "doc_id", "n", "digest"])
+            n, digests = [], []
+            for t in b.column(2):
+                g = shingles_of(t.as_py())
+                n.append(len(g))
+                digests.append(xxh3_128_digest(g.astype("<u8").tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(digests, pa.binary())], ["row", "doc_id", "n", "digest"])
+            trim()
 
     return docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n int, digest binary")
 
@@ -156,6 +161,7 @@ def _exploded(texts: DataFrame, take) -> DataFrame:
                 n, r = (np.repeat(np.array(x, np.int32), many) for x in (list(map(len, grams)), [x[2] for x in heads]))
                 g = np.where(kind == 1, np.repeat(np.array([x[3] for x in heads], np.int64), many), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, kind, np.repeat(part.column(0).to_numpy(), many), n, r, g)], ["h", "kind", "row", "n", "r", "g"])
+            trim()
 
     return texts.select("row", "text").mapInArrow(run, "h long, kind byte, row long, n int, r int, g long")
 
@@ -192,6 +198,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 both = np.count_nonzero(x[at] == y)
                 keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
             yield p.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            trim()
 
     pairs = materialise(pairs, "pairs")
     rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()

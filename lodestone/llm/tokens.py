@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO, SLICE, JOINED = 300_000, 4 << 20, 1 << 16  # pieces a generation, bytes a slice, bytes of unseen pieces a call
+from lodestone.llm.common import trim
+
+MEMO, SLICE, JOINED = 100_000, 1 << 20, 1 << 16  # pieces a generation, bytes a slice, bytes of unseen pieces a call
 _LETTER, _MARK, _SPACE = 1, 2, 4
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
@@ -24,7 +26,11 @@ _loaded: dict[str, "Encoder"] = {}
 def _flat(lens: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Places starts[i], ... starts[i] + lens[i] - 1 of all i, one after the other."""
     ends = np.cumsum(lens)
-    return np.repeat(starts - ends + lens, lens) + np.arange(ends[-1] if len(ends) else 0)
+    total = ends[-1] if len(ends) else 0
+    kind = np.int32 if max(total, starts.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((starts - ends + lens).astype(kind), lens)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Encoder:
@@ -45,12 +51,12 @@ class Encoder:
 
     def slices(self, texts: pa.Array, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, places of the rows' ids) of slices of about SLICE bytes."""
-        texts = texts.fill_null("")
-        at, ends = 0, np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at, ends = 0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         while at < len(texts):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
             yield at, *self.batch(texts.slice(at, upto - at), end)
             at = upto
+        trim()
 
     def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts, each followed by `end`, and the n + 1 places where they start and end."""
@@ -106,7 +112,8 @@ class Encoder:
             stay = kind != _SPACE
             first[1:n] |= ~stay[:-1]
             at = np.flatnonzero(first[:n] & stay)
-            return at, data[stay], np.append((np.cumsum(stay) - 1)[at], np.count_nonzero(stay))
+            before = np.cumsum(stay, dtype=np.int32 if n < 1 << 31 else np.int64)
+            return at, data[stay], np.append(before[at] - 1, before[-1])
         gap = np.flatnonzero((kind[1:] == _SPACE) & (kind[:-1] != _SPACE)) + 1
         prev, lead = data[gap - 1], data[np.maximum(gap - 2, 0)]
         for back in (3, 4):
@@ -123,7 +130,7 @@ class Encoder:
         at, data, ends = self._cuts(data, bounds)
         pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(np.ascontiguousarray(data))])
         coded = pieces.dictionary_encode()
-        which, ids = coded.indices.to_numpy(), self._ids(coded.dictionary.to_pylist())
+        which, ids = coded.indices.to_numpy(), self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts, many = np.cumsum(lens) - lens, lens[which]
         out = np.frombuffer(b"".join(ids), "<u4")[_flat(many, starts[which])] if len(ids) else np.zeros(0, "<u4")
@@ -132,14 +139,14 @@ class Encoder:
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         young, old = self.young, self.old
-        got = [young.get(p) for p in pieces]
+        got = list(map(young.get, pieces))
         new = []
-        for i, p in enumerate(pieces):
-            if got[i] is None:
-                if (x := old.get(p)) is not None:
-                    got[i] = young[p] = x
-                else:
-                    new.append(i)
+        for i in [i for i, x in enumerate(got) if x is None]:
+            p = pieces[i]
+            if (x := old.get(p)) is not None:
+                got[i] = young[p] = x
+            else:
+                new.append(i)
         group, size = [], 0
         for i in new:
             group.append(i)

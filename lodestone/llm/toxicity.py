@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.common import spare
+from lodestone.llm.common import spare, trim
 
 SAMPLE, LONGEST, VOCAB, MIN_DOCS = 2500, 50_000, 3000, 4  # training rows of each label, their most bytes, words kept, documents a word needs
 BEGINNINGS = ((), (4, 5), (3, 4, 5, 6))  # lengths of word beginnings, which inflected forms share; chosen on training rows
@@ -147,6 +147,7 @@ def score(docs: DataFrame, model: dict, name: str = "toxicity") -> tuple[DataFra
         for s in it:
             got = [scorer.one(t) for t in s]
             yield pd.DataFrame({"score": [x for x, _ in got], "offending": [[{"start": a, "end": b, "score": c} for a, b, c in y] for _, y in got]})
+            trim()
 
     return docs.withColumn(name, f(F.col("text"))), name
 

@@ -3,6 +3,8 @@ import hashlib
 import itertools
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -331,6 +333,36 @@ def test_batches_give_the_library_s_ids(name, monkeypatch):
             assert ids[at[i] : at[i + 1]].tolist() == encoded(name, 7, t).tolist(), t
 
 
+def test_packed_batches_are_small():
+    """Workers hold few results at once, and long documents make many batches."""
+    texts = pa.array([f"{i} " + "word " * 3000 for i in range(700)])
+    b = pa.RecordBatch.from_arrays([pa.array(range(700), pa.int64()), texts], ["doc_id", "text"])
+    out = list(packing.packed(iter([b]), tokens.encoder("word_bpe_49k.json"), packing.Packer(0), 1))
+    assert len(out) > 1 and max(x.nbytes for x in out) < 9 << 20
+    assert sum(sum(x.column(2).to_pylist()) for x in out) == sum(len(encoded("word_bpe_49k.json", 1, t)) for t in texts.to_pylist())
+
+
+def test_workers_give_memory_back():
+    """What a worker has freed goes back to the system, as the workers of one stage live on in the next."""
+    run = """
+import re, sys
+import numpy as np
+from lodestone.llm.common import trim
+
+def anon():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+
+before = anon()
+held = [np.ones(12_500) for _ in range(2000)]
+end = np.ones(10)
+assert anon() > before + 150
+del held[:-1]
+trim()
+assert anon() < before + 40, anon() - before
+"""
+    subprocess.run([sys.executable, "-c", run], check=True, cwd=Path(corpus_pipeline.__file__).parent, timeout=100)
+
+
 def test_records_in_any_order(docs, spark):
     odd = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, "no id")], "doc_id long, text string"))
     manifest = records.write(odd)
