@@ -2,7 +2,8 @@
 
 Texts are cut only where the pre-tokenizer cuts in any case: after an ASCII letter before an ASCII mark or digit, at the first
 white space after a character that is none, and around special tokens. Equal pieces of a batch are encoded once; ids of
-pieces met before come from a memo in two generations, of which the older is dropped when the younger is full.
+pieces met before come from a memo in two generations, of which the older is dropped when the younger is full. Unseen pieces
+of letters alone, which are one word of the pre-tokenizer, go to the library's model at once; others through all its steps.
 """
 import json
 import re
@@ -14,12 +15,26 @@ import pyarrow.compute as pc
 
 from lodestone.llm.common import trim
 
-MEMO, SLICE, JOINED = 100_000, 1 << 20, 1 << 16  # pieces a generation, bytes a slice, bytes of unseen pieces a call
+MEMO, SLICE, JOINED, PLAIN = 100_000, 1 << 20, 1 << 16, 8192  # pieces a generation, bytes a slice, bytes of unseen pieces a call, plain pieces at once
 _LETTER, _MARK, _SPACE = 1, 2, 4
 _KIND = np.zeros(256, np.uint8)
 _KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
 _KIND[[*range(33, 65), *range(91, 97), *range(123, 127)]] = _MARK
 _KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+# ASCII letters and U+00C0 to U+00FF but for the two signs among them, after a space where that belongs to the word
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_WORDS = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+_FOLDED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+# (normalizer, pre-tokenizer) of which plain pieces are known to be one word each
+_KNOWN = {
+    rb" ?" + _LETTERS: (None, _BYTES | {"use_regex": True}),
+    _LETTERS: ({"type": "Sequence", "normalizers": _FOLDED}, {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": _WORDS, "behavior": "Removed", "invert": True}, _BYTES | {"use_regex": False}]}),
+}
+# the character that stands for each byte in a byte-level vocabulary
+_SHOWN = np.arange(256, dtype="<u4")
+_OTHER = np.array([*range(33), *range(127, 161), 173])
+_SHOWN[_OTHER] = 256 + np.arange(len(_OTHER))
 _loaded: dict[str, "Encoder"] = {}
 
 
@@ -43,6 +58,10 @@ class Encoder:
         self.pattern = re.compile(b"|".join(map(re.escape, self.special)))
         self.sep, self.sep_id = next(iter(self.special.items()))
         self.drops_space = bool(spec["normalizer"])  # white space is dropped, case folded
+        known = next((k for k, x in _KNOWN.items() if x == (spec["normalizer"], spec["pre_tokenizer"])), None)
+        odd = spec["model"]["type"] != "BPE" or spec["model"]["dropout"] or any(x["normalized"] for x in spec["added_tokens"])
+        self.plain = re.compile(known) if known and not odd else None
+        self.model = self.t.model
         self.young, self.old = {}, {}
 
     def one(self, text: str | None, end: int) -> bytes:
@@ -147,8 +166,11 @@ class Encoder:
                 got[i] = young[p] = x
             else:
                 new.append(i)
+        plain = [i for i in new if self.plain.fullmatch(pieces[i])] if self.plain else []
+        for k in range(0, len(plain), PLAIN):
+            self._words(pieces, plain[k : k + PLAIN], got)
         group, size = [], 0
-        for i in new:
+        for i in [i for i in new if got[i] is None]:
             group.append(i)
             size += len(pieces[i])
             if size > JOINED:
@@ -162,6 +184,23 @@ class Encoder:
             self.young, self.old = {}, young
         return got
 
+    def _words(self, pieces: list[bytes], group: list[int], got: list) -> None:
+        """The model's ids of each plain piece, in lower case where the tokenizer folds it."""
+        data = np.frombuffer(b"".join([pieces[i] for i in group]), np.uint8)
+        if self.drops_space:
+            # 0x80 to 0x9E are the second bytes of the capitals U+00C0 to U+00DE and of nothing else
+            big = (data >= 65) & (data <= 90) | (data >= 0x80) & (data <= 0x9E)
+            data = data + (big.astype(np.uint8) << 5)
+        text, at, ids, ends, tokens = _SHOWN[data].tobytes().decode("utf-32-le"), 0, [], [], self.model.tokenize
+        for i in group:
+            upto = at + len(pieces[i])
+            ids += [x.id for x in tokens(text[at:upto])]
+            ends.append(4 * len(ids))
+            at = upto
+        raw, at = np.array(ids, "<u4").tobytes(), 0
+        for i, upto in zip(group, ends, strict=True):
+            got[i], at = raw[at:upto], upto
+
     def _encode(self, pieces: list[bytes], group: list[int], got: list) -> None:
         """One library call for all pieces of the group, with a special token between them."""
         if not group:

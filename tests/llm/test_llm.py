@@ -333,6 +333,21 @@ def test_batches_give_the_library_s_ids(name, monkeypatch):
             assert ids[at[i] : at[i + 1]].tolist() == encoded(name, 7, t).tolist(), t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_unseen_words_go_to_the_model(name, monkeypatch):
+    """Words of letters take the model alone, with the ids of all steps; what the pre-tokenizer may cut or fold takes all."""
+    rng, enc, rest = random.Random(6), tokens.Encoder(tokens.encoder(name).path), []
+    monkeypatch.setattr(enc, "_encode", lambda pieces, group, got, f=enc._encode: (rest.extend(pieces[i] for i in group), f(pieces, group, got)))
+    latin = [*"abcxyzABCIXYZ", *map(chr, range(0xC0, 0x100))]
+    words = ["".join(rng.choice(latin) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    given = [" ".join(words[k : k + 10]) for k in range(0, 3000, 10)] + ["I\u0307 \u00c9\u0301x \u0130I \u0178y a\u00d7b \u00f7", *map(chr, range(0xC0, 0x250))]
+    ids, at = enc.batch(pa.array(given), 7)
+    for i, t in enumerate(given):
+        assert ids[at[i] : at[i + 1]].tolist() == encoded(name, 7, t).tolist(), t
+    signs = re.compile("[^a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff ]")
+    assert rest and all(signs.search(p.decode()) for p in rest)
+
+
 def test_packed_batches_are_small():
     """Workers hold few results at once, and long documents make many batches."""
     texts = pa.array([f"{i} " + "word " * 3000 for i in range(700)])
