@@ -5,6 +5,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -436,6 +437,30 @@ def test_classifiers(docs, spark):
         assert sum(ok) / len(ok) > 0.95
 
 
+def test_toxicity_fit_is_small_on_the_driver():
+    rng = np.random.default_rng(3)
+    names = ["".join(rng.choice(list("abcdefgh"), 9)) for _ in range(3000)]
+    texts = [". ".join(" ".join(rng.choice(names, 25)) for _ in range(30)) for _ in range(400)]
+    y = np.array([i % 2 for i in range(400)], float)
+    texts = [t + ". you vile wretch" if i % 2 else t for i, t in enumerate(texts)] + [None, "", "...", "you"]
+    y = np.append(y, [0.0, 0.0, 0.0, 1.0])
+    tracemalloc.start()
+    try:
+        model = toxicity.choose(texts, y)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    scorer = toxicity.Scorer(model)
+    got = np.array([scorer.one(t)[0] for t in texts])
+    assert ((got >= 0.5) == (y == 1))[:400].all() and not got[400:402].any()
+    print("fit, peak MB", peak)
+    assert peak < 15
+    bags = toxicity.Bags.of(texts)
+    assert np.allclose(toxicity.chances(bags, model), got, atol=1e-12)
+    part = y == 1
+    assert np.allclose(toxicity.chances(bags.pick(part), model), got[part], atol=1e-12)
+
+
 def test_embeddings(spark):
     vecs = spark.read.parquet(f"{D}/embeddings.parquet")
     odd = spark.createDataFrame([(10**6, None, 1), (10**6 + 1, [0.0] * 64, 1), (10**6 + 2, [float("nan")] * 64, 1), (10**6 + 3, [1.0] * 64, None), (10**6 + 4, [1.0] * 64, 1), (10**6 + 5, [2.0] * 64, 1), (10**6 + 6, [2.0] * 64, 1)], vecs.schema)
